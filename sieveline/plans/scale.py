@@ -105,3 +105,31 @@ def frames(columns: dict[str, list], rows: int = 50_000):
     n = len(next(iter(columns.values())))
     for i in range(0, n, rows):
         yield pd.DataFrame({c: pd.Series(list(v[i : i + rows]), dtype="object") for c, v in columns.items()})
+
+
+def most_used(counts: DataFrame, key: str, uses: str, n: int) -> dict:
+    """The keys used most, as {key: uses}: at most ``n`` of them, cut at a number of uses and not by rank.
+
+    The cut comes from a histogram of at most 600 buckets, so no task and not the driver ever holds more than ``n`` keys.
+    """
+    counts = materialize(counts, "counts")
+    bucket = F.floor(F.log2(F.col(uses)) * 8).cast("int")
+    histogram = counts.groupBy(bucket.alias("b")).count().collect()
+    cut, total = None, 0
+    for r in sorted(histogram, key=lambda r: -r["b"]):
+        total += r["count"]
+        if total > n:
+            break
+        cut = r["b"]
+    out = {} if cut is None else {r[key]: r[uses] for r in counts.where(bucket >= cut).select(key, uses).collect()}
+    release(counts)
+    return out
+
+
+def bounded_sample(df: DataFrame, keys: list[str], n: int) -> DataFrame:
+    """About ``n`` rows at most, chosen by a hash of ``keys``: all of a small table, the same ones of the same table."""
+    total = df.count()
+    if total <= n:
+        return df
+    share = n / total
+    return df.where(F.pmod(F.xxhash64(*keys, F.lit(11)), F.lit(1 << 30)) < int(share * (1 << 30))).limit(2 * n)
