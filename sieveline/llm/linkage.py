@@ -16,10 +16,10 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.scale import BROADCAST_ROWS, frames, materialize, release
+from ..plans.scale import BROADCAST_ROWS, frames, materialize, most_used, release
 from .overlap import COMMENT
 
 TOKEN = re.compile(r'"(?:[^"\\\n]|\\.)*"|\'(?:[^\'\\\n]|\\.)*\'|[^\W\d]\w*|\d\w*|->|[^\s\w]')
@@ -36,8 +36,8 @@ assert atomic_inc atomic_dec htons ntohs htonl ntohl log_msg
 #: Forms of a bound or null check that a fix adds, over statements whose names are x and numbers 0.
 GUARDS = [re.compile(p) for p in (r"x = min \( x , \( size_t \) x \)", r"if \( x = = null \| \| x - > x = = 0 \)", r"if \( x > sizeof \( ", r"if \( x - > x > = x \)")]
 COMMON_NAMES = 100_000
-NAME_SHARE = 0.4
-SHINGLE, SHINGLES = 4, 4
+NAME_SHARE = 0.6
+LITERALS, LITERAL_KEYS = 3, 2
 
 
 def statements(code: str) -> list[tuple[str, str]]:
@@ -65,40 +65,54 @@ def _hash(text: str) -> int:
     return xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63)
 
 
-def _name_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def literal_runs(code: str) -> set[str]:
+    """Every LITERALS numbers and strings in a row, which stay when all names change."""
+    got = [t for t in TOKEN.findall(COMMENT.sub(" ", code).lower()) if t[0].isdigit() or (t[0] == '"' and len(t) > 2)]
+    return {" ".join(got[i : i + LITERALS]) for i in range(len(got) - LITERALS + 1)}
+
+
+def _counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     count: Counter = Counter()
     for pdf in batches:
         for code in pdf["code"]:
-            count.update(names(code))
+            count.update(_hash("1" + t) for t in names(code))
+            count.update(_hash("3" + t) for t in literal_runs(code))
         if len(count) > 2_000_000:
-            yield from frames({"name": list(count), "uses": list(count.values())})
+            yield from frames({"block": list(count), "uses": list(count.values())})
             count.clear()
-    yield from frames({"name": list(count), "uses": list(count.values())})
+    yield from frames({"block": list(count), "uses": list(count.values())})
 
 
-def _blocks(common):
-    """Blocking keys of each record: pass 1 its rarest names, pass 2 the function's name, pass 3 shingles of statements."""
+def blocks_of(code: str, uses: dict[int, int]) -> list[int]:
+    """Blocking keys: pass 1 its rarest names, enough for any two codes with NAME_SHARE of the longer one's names in
+    common to share one; pass 2 the function's name; pass 3 its rarest runs of literals."""
+    own = sorted((uses.get(h, 0), h) for h in (_hash("1" + t) for t in names(code)))
+    got = [h for _, h in own[: len(own) - math.ceil(NAME_SHARE * len(own)) + 1]]
+    if name := function_name(code):
+        got.append(_hash("2" + name))
+    got += [h for _, h in sorted((uses.get(h, 0), h) for h in (_hash("3" + t) for t in literal_runs(code)))[:LITERAL_KEYS]]
+    return got
 
+
+def _postings(common):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rank = common.value
         for pdf in batches:
-            keys, digests = [], []
-            for code in pdf["code"]:
-                own = sorted(names(code), key=lambda t: (rank.get(t, 0), t))
-                need = len(own) - math.ceil(NAME_SHARE * len(own)) + 1 if own else 0
-                got = {_hash("1" + t) for t in own[:need]}
-                if name := function_name(code):
-                    got.add(_hash("2" + name))
-                st = [s for s, _ in statements(code)]
-                shingles = {_hash("3" + "\n".join(st[i : i + SHINGLE])) for i in range(max(1, len(st) - SHINGLE + 1))}
-                got.update(sorted(shingles)[:SHINGLES])
-                keys.append(list(got))
-                digests.append(hashlib.md5(" ".join(TOKEN.findall(COMMENT.sub(" ", code).lower())).encode("utf-8", "surrogatepass")).digest())
-            yield from frames({c: list(pdf[c]) for c in ("record", "label", "cwe", "origin")} | {"digest": digests, "blocks": keys})
+            records, keys = [], []
+            for record, code in zip(pdf["record"], pdf["code"]):
+                got = blocks_of(code, common.value)
+                records += [record] * len(got)
+                keys += got
+            yield from frames({"record": records, "block": keys})
 
     return run
 
 
+def _digests(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        digests = [hashlib.md5(" ".join(TOKEN.findall(COMMENT.sub(" ", c).lower())).encode("utf-8", "surrogatepass")).digest() for c in pdf["code"]]
+        yield from frames({c: list(pdf[c]) for c in ("record", "label", "cwe", "origin")} | {"digest": digests})
+
+
 def _profile(code: str) -> tuple:
     st = statements(code)
     plain = [s for s, _ in st]
@@ -196,30 +210,27 @@ def match_functions(left: DataFrame, right: DataFrame, left_cols: tuple[str, str
     ``*_cols``: id, code, label and CWE column of each side; ``origin``: the right side's collection. A right record
     gets at most one left record, and a left record at most one right record per origin: the most confident, then the
     closest, then the smallest id. Records without id or code are in no pair; missing labels and CWEs are their own
-    level of agreement. Exact copies with the same label and CWE are compared once, for their smallest id. Repeated
-    rows are such copies. Empty tables give an empty result. Other columns are ignored. Codes are read whole; no
+    level of agreement. Exact copies on the right with the same label and CWE count as one, that of the smallest id.
+    Repeated rows are such copies. A candidate shares at least two keys of any pass. Empty tables give an empty result. Other columns are ignored. Codes are read whole; no
     block or number of candidates is capped.
     """
     spark = left.sparkSession
     a, b = _prepared(left, *left_cols, None), _prepared(right, *right_cols, origin)
-    # Names common on the right would make large blocks, so they come last; at most COMMON_NAMES reach the driver.
-    counts = b.select("code").mapInPandas(_name_counts, "name string, uses long").groupBy("name").agg(F.sum("uses").alias("uses"))
-    common = spark.sparkContext.broadcast({r["name"]: r["uses"] for r in counts.where("uses > 2").orderBy(F.desc("uses"), "name").limit(COMMON_NAMES).collect()})
-    schema = "record long, label int, cwe string, origin string, digest binary, blocks array<long>"
-
-    def reps(df: DataFrame) -> DataFrame:
-        got = df.select("record", "label", "cwe", "origin", "code").mapInPandas(_blocks(common), schema)
-        return materialize(got.groupBy("origin", "digest", "label", "cwe").agg(F.min("record").alias("record"), F.first("blocks").alias("blocks")), "blocks")
-
-    ra, rb = reps(a), reps(b)
-    ka = ra.select(F.col("record").alias("left_id"), F.explode("blocks").alias("block"))
-    kb = rb.select(F.col("record").alias("right_id"), F.explode("blocks").alias("block"))
+    # Keys common on the right would make large blocks, so they come last; at most COMMON_NAMES reach the driver.
+    counts = b.select("code").mapInPandas(_counts, "block long, uses long").groupBy("block").agg(F.sum("uses").alias("uses"))
+    common = spark.sparkContext.broadcast(most_used(counts.where("uses > 1"), "block", "uses", COMMON_NAMES))
+    # Copies on the right are compared once, so a group of copies on both sides makes no square of pairs.
+    reps = b.select("record", "label", "cwe", "origin", "code").mapInPandas(_digests, "record long, label int, cwe string, origin string, digest binary")
+    reps = reps.groupBy("origin", "digest", "label", "cwe").agg(F.min("record").alias("record")).select("record")
+    once = materialize(b.join(reps, "record", "left_semi").dropDuplicates(["record"]), "right")
+    ka = a.select("record", "code").mapInPandas(_postings(common), "record long, block long").withColumnRenamed("record", "left_id")
+    kb = once.select("record", "code").mapInPandas(_postings(common), "record long, block long").withColumnRenamed("record", "right_id")
     cand = materialize(ka.join(kb, "block").groupBy("left_id", "right_id").agg(F.count(F.lit(1)).alias("shared")).where("shared >= 2"), "candidates")
     ids = cand.select(F.col("left_id").alias("record")).distinct()
     if ids.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         ids = F.broadcast(ids)
     la = a.join(ids, "record", "left_semi").dropDuplicates(["record"]).select(F.col("record").alias("left_id"), F.col("code").alias("code_a"), F.col("label").alias("label_a"), F.col("cwe").alias("cwe_a"))
-    lb = b.dropDuplicates(["record"]).select(F.col("record").alias("right_id"), "origin", F.col("code").alias("code_b"), F.col("label").alias("label_b"), F.col("cwe").alias("cwe_b"))
+    lb = once.select(F.col("record").alias("right_id"), "origin", F.col("code").alias("code_b"), F.col("label").alias("label_b"), F.col("cwe").alias("cwe_b"))
     pairs = cand.join(lb, "right_id").join(la, "left_id")
     pairs = pairs.select("left_id", "right_id", "origin", agreement(F.col("label_a"), F.col("label_b")).alias("c_label"), agreement(F.col("cwe_a"), F.col("cwe_b")).alias("c_cwe"), "code_a", "code_b")
     compared = materialize(pairs.mapInPandas(_compare, "left_id long, right_id long, origin string, c_label int, c_cwe int, c_statements int, c_names int, c_function int, c_size int, c_guards int, closeness double"), "compared")
@@ -228,9 +239,7 @@ def match_functions(left: DataFrame, right: DataFrame, left_cols: tuple[str, str
     known = compared.join(F.broadcast(same), SAME)
     state = _posteriors(known.where("p_same >= 0.5"), STATE, lambda r: {0: 0.2, 1: 0.5, 2: 0.8}[r["c_label"]] if r["c_guards"] else 0.1, "p_state")
     scored = known.where("p_same >= 0.5").join(F.broadcast(state), STATE).withColumn("confidence", F.col("p_same") * F.col("p_state")).where(F.col("confidence") >= threshold)
-    best = [F.desc("confidence"), F.desc("closeness")]
-    scored = scored.withColumn("r", F.row_number().over(Window.partitionBy("right_id").orderBy(*best, "left_id"))).where("r = 1")
-    scored = scored.withColumn("r", F.row_number().over(Window.partitionBy("left_id", "origin").orderBy(*best, "right_id"))).where("r = 1")
-    out = scored.select("left_id", "right_id", "confidence")
-    release(cand)
-    return out
+    rank = F.struct("confidence", "closeness", -F.col("left_id"), -F.col("right_id"))
+    scored = scored.withColumn("rank", rank).groupBy("right_id").agg(*[F.max_by(c, "rank").alias(c) for c in ("left_id", "origin", "confidence", "rank")])
+    scored = scored.groupBy("left_id", "origin").agg(F.max_by("right_id", "rank").alias("right_id"), F.max_by("confidence", "rank").alias("confidence"))
+    return scored.select("left_id", "right_id", "confidence")

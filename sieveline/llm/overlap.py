@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.scale import BROADCAST_ROWS, frames, materialize, release
+from ..plans.scale import BROADCAST_ROWS, frames, materialize, most_used, release
 
 COMMENT = re.compile(r"/\*.*?(?:\*/|\Z)|//[^\n]*", re.S)
 RUN = re.compile(r"\w+")
@@ -49,6 +49,10 @@ def _key(count: Counter) -> bytes:
     return hashlib.md5("\n".join(f"{g}\0{c}" for g, c in sorted(count.items())).encode("utf-8", "surrogatepass")).digest()
 
 
+def _hash(text: str) -> int:
+    return xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63)
+
+
 def _counts(tokens: Callable, n: int) -> Callable:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         count: Counter = Counter()
@@ -56,9 +60,9 @@ def _counts(tokens: Callable, n: int) -> Callable:
             for text in pdf["text"]:
                 count.update(ngrams(text, tokens, n))
             if len(count) > 2_000_000:
-                yield from frames({"gram": list(count), "uses": list(count.values())})
+                yield from frames({"gram": [_hash(g) for g in count], "uses": list(count.values())})
                 count.clear()
-        yield from frames({"gram": list(count), "uses": list(count.values())})
+        yield from frames({"gram": [_hash(g) for g in count], "uses": list(count.values())})
 
     return run
 
@@ -71,13 +75,13 @@ def _lookups(tokens: Callable, n: int, similarity: float, common) -> Callable:
             for text in pdf["text"]:
                 count = Counter(ngrams(text, tokens, n))
                 size = sum(count.values())
-                ordered = sorted((rank.get(g, 0), g, c) for g, c in count.items())
+                ordered = sorted((rank.get(h := _hash(g), 0), h, c) for g, c in count.items())
                 need, top = size - math.ceil(similarity * size - 1e-9) + 1, []
-                for _, g, c in ordered:
+                for _, h, c in ordered:
                     if need <= 0:
                         break
-                    for i in range(min(c, need)):
-                        top.append(xxhash.xxh3_64_intdigest(f"{g}\0{i}".encode("utf-8", "surrogatepass")) - (1 << 63))
+                    # The i-th use of an n-gram is a key of its own.
+                    top += [(h + i * 0x9E3779B97F4A7C15 + (1 << 63)) % (1 << 64) - (1 << 63) for i in range(min(c, need))]
                     need -= c
                 keys.append(_key(count))
                 sizes.append(size)
@@ -133,26 +137,26 @@ def cross_split_pairs(df: DataFrame, record: str, text: str, split: str, tokens:
     rows = df.select(F.col(record).alias("record"), F.col(text).cast("string").alias("text"), side.isin(*held_out).alias("held"), (side == train).alias("tr"))
     rows = rows.where("(held OR tr) AND text IS NOT NULL AND record IS NOT NULL").drop("tr")
     spark = df.sparkSession
-    counts = rows.select("text").mapInPandas(_counts(tokens, n), "gram string, uses long").groupBy("gram").agg(F.sum("uses").alias("uses"))
-    # At most COMMON_NGRAMS rows reach the driver; any order gives the same result, this one the fewest candidates.
-    common = {r["gram"]: r["uses"] for r in counts.where("uses > 2").orderBy(F.desc("uses"), "gram").limit(COMMON_NGRAMS).collect()}
-    order = spark.sparkContext.broadcast(common)
+    counts = rows.select("text").mapInPandas(_counts(tokens, n), "gram long, uses long").groupBy("gram").agg(F.sum("uses").alias("uses"))
+    # At most COMMON_NGRAMS rows reach the driver; any order gives the same result, this one few candidates.
+    order = spark.sparkContext.broadcast(most_used(counts.where("uses > 2"), "gram", "uses", COMMON_NGRAMS))
     looked = materialize(rows.mapInPandas(_lookups(tokens, n, similarity, order), f"record {kind}, held boolean, key binary, size int, grams array<long>").where("size > 0"), "lookups")
-    classes = materialize(looked.groupBy("key").agg(F.min("record").alias("rep"), F.max("held").alias("has_e"), F.min("held").alias("only_e"), F.first("size").alias("size"), F.first("grams").alias("grams")), "classes")
-    held = classes.where("has_e").select(F.explode("grams").alias("gram"), F.col("key").alias("key_e"), F.col("rep").alias("rep_e"), F.col("size").alias("size_e"))
-    trained = classes.where("NOT only_e").select(F.explode("grams").alias("gram"), F.col("key").alias("key_t"), F.col("rep").alias("rep_t"), F.col("size").alias("size_t"))
+    # The shuffled n-grams carry a 64-bit class number; classes that share one only make candidates the check refuses.
+    classes = materialize(looked.groupBy("key").agg(F.min("record").alias("rep"), F.max("held").alias("has_e"), F.min("held").alias("only_e"), F.first("size").alias("size"), F.first("grams").alias("grams")).withColumn("class", F.xxhash64("key")), "classes")
+    held = classes.where("has_e").select(F.explode("grams").alias("gram"), F.col("class").alias("class_e"), F.col("size").alias("size_e"))
+    trained = classes.where("NOT only_e").select(F.explode("grams").alias("gram"), F.col("class").alias("class_t"), F.col("size").alias("size_t"))
     near = F.least("size_e", "size_t") >= F.greatest("size_e", "size_t") * F.lit(similarity) - F.lit(1e-9)
-    hits = materialize(held.join(trained, "gram").where((F.col("key_e") != F.col("key_t")) & near).select("key_e", "rep_e", "key_t", "rep_t").distinct(), "hits")
-    reps = hits.select(F.col("rep_e").alias("record")).unionByName(hits.select(F.col("rep_t").alias("record"))).distinct()
+    hits = materialize(held.join(trained, "gram").where((F.col("class_e") != F.col("class_t")) & near).select("class_e", "class_t").distinct(), "hits")
+    wanted = hits.select(F.col("class_e").alias("class")).unionByName(hits.select(F.col("class_t").alias("class"))).distinct()
+    reps = materialize(classes.select("class", "key", F.col("rep").alias("record")).join(wanted, "class"), "reps")
     # Only texts of records in some candidate pair are shuffled.
-    if reps.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        reps = F.broadcast(reps)
-    texts = rows.select("record", "text").join(reps, "record", "left_semi")
-    pairs = hits.join(texts.select(F.col("record").alias("rep_e"), F.col("text").alias("text_e")), "rep_e").join(texts.select(F.col("record").alias("rep_t"), F.col("text").alias("text_t")), "rep_t")
+    few = reps.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    texts = materialize(rows.select("record", "text").join(F.broadcast(reps) if few else reps, "record").select("class", "key", "text"), "texts")
+    pairs = hits.join(texts.toDF("class_e", "key_e", "text_e"), "class_e").join(texts.toDF("class_t", "key_t", "text_t"), "class_t")
     alike = pairs.select("key_e", "key_t", "text_e", "text_t").mapInPandas(_contain(tokens, n, similarity), "key_e binary, key_t binary, containment double, alike double").distinct()
     same = classes.where("has_e AND NOT only_e").select(F.col("key").alias("key_e"), F.col("key").alias("key_t"), F.lit(1.0).alias("containment"), F.lit(1.0).alias("alike"))
     both = materialize(alike.unionByName(same), "alike")
-    release(hits)
+    release(hits, reps, texts, classes)
     members = looked.select("record", "held", "key")
     out = both.join(members.where("held").select(F.col("record").alias("held_id"), F.col("key").alias("key_e")), "key_e")
     return out.join(members.where("NOT held").select(F.col("record").alias("train_id"), F.col("key").alias("key_t")), "key_t").select("held_id", "train_id", "containment", "alike")

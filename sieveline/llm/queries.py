@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import formatting, linkage, overlap, splits
+from . import formatting, linkage, mixing, overlap, packing, pii, splits
 
 SPLITS = {"train": 0.8, "validation": 0.1, "test": 0.1}
 
@@ -56,8 +56,43 @@ def p5_collapsed(spark: SparkSession, d: str) -> DataFrame:
     return formatting.collapse(_table(spark, d, "codereview", "unique_id", "code"), "unique_id", "code")
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    table = _table(spark, d, "pii", "doc_id", "locale", "text", "gold_spans")
+    return pii.find_spans(table, "doc_id", "text", "locale", pii.trained(table, "doc_id", "text", "gold_spans", "locale"))
+
+
+def p2_redacted(spark: SparkSession, d: str) -> DataFrame:
+    table = _table(spark, d, "pii", "doc_id", "locale", "text", "gold_spans")
+    return pii.redact(table, "doc_id", "text", "locale", pii.trained(table, "doc_id", "text", "gold_spans", "locale"))
+
+
+def p6_containers(spark: SparkSession, d: str) -> DataFrame:
+    return packing.pack(_table(spark, d, "documents", "doc_id", "text"), "doc_id", "text", _table(spark, d, "pack_capacities"))
+
+
+def p6_fill(spark: SparkSession, d: str) -> DataFrame:
+    return packing.fill_report(p6_containers(spark, d), _table(spark, d, "pack_capacities"))
+
+
+def _mix(spark: SparkSession, d: str, total: float | None = None) -> tuple[DataFrame, DataFrame]:
+    return mixing.mix(_table(spark, d, "documents", "doc_id", "source", "text"), "doc_id", "source", "text", _table(spark, d, "mix_targets"), total)
+
+
+def p7_mix(spark: SparkSession, d: str) -> DataFrame:
+    return _mix(spark, d)[0]
+
+
+def p7_shares(spark: SparkSession, d: str) -> DataFrame:
+    return _mix(spark, d)[1]
+
+
+def p7_shares_capped(spark: SparkSession, d: str) -> DataFrame:
+    """A total that not every source can serve: small ones stop at their repeats."""
+    return _mix(spark, d, 1_000_000.0)[1]
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_splits, p3_found, p3_report, p4_found, p4_links, p5_found, p5_collapsed)
+    f.__name__: f for f in (p1_found, p1_splits, p2_found, p2_redacted, p3_found, p3_report, p4_found, p4_links, p5_found, p5_collapsed, p6_containers, p6_fill, p7_mix, p7_shares, p7_shares_capped)
 }
 
 _KEY = r"""
