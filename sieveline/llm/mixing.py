@@ -50,8 +50,8 @@ def mix(df: DataFrame, record: str, source: str, text: str, targets: DataFrame,
     reaches nothing. Targets of one source add up, with the larger number of repeats; null shares count as 0 and
     null repeats as 1. Null and empty texts have no tokens and are never chosen. Repeated rows are records of their
     own. A source never exceeds its budget; where the record at the cut leaves a gap above SLACK of the budget, later
-    records that fit in it follow in further passes. Empty tables give empty results. Other columns are ignored. The targets are collected: at most
-    MAX_SOURCES rows.
+    records that fit in it follow in further passes. Empty tables give empty results. Other columns are ignored. The
+    targets are collected: at most MAX_SOURCES rows.
     """
     spark = df.sparkSession
     want = targets.select(source_key(F.col("source")).alias("s"), F.coalesce(F.col("target_share").cast("double"), F.lit(0.0)).alias("share"), F.coalesce(F.col("max_repeats").cast("int"), F.lit(1)).alias("r"))
@@ -90,4 +90,6 @@ def mix(df: DataFrame, record: str, source: str, text: str, targets: DataFrame,
     shares = base.join(F.broadcast(reached), "source", "left").withColumn("tokens", F.coalesce("tokens", F.lit(0)))
     everything = reached.agg(F.sum("tokens").alias("all_tokens"))
     shares = shares.join(F.broadcast(everything), F.lit(True), "left").withColumn("actual_share", F.coalesce(F.try_divide(F.col("tokens").cast("double"), F.col("all_tokens")), F.lit(0.0)))
+    short = (F.col("note") == "met") & (F.col("tokens") < F.col("budget_tokens") * 0.98)
+    shares = shares.withColumn("note", F.when(short, F.lit("records too large")).otherwise(F.col("note")))
     return chosen, shares.select("source", "target_share", "max_repeats", "supply_tokens", "budget_tokens", "tokens", "actual_share", "note")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import formatting, linkage, mixing, overlap, packing, pii, splits
+from . import abuse, formatting, linkage, mixing, overlap, packing, pii, splits
 
 SPLITS = {"train": 0.8, "validation": 0.1, "test": 0.1}
 
@@ -91,8 +91,25 @@ def p7_shares_capped(spark: SparkSession, d: str) -> DataFrame:
     return _mix(spark, d, 1_000_000.0)[1]
 
 
+def _scored(spark: SparkSession, d: str) -> DataFrame:
+    docs = _table(spark, d, "documents", "doc_id", "text", "source")
+    return abuse.score_documents(docs, "doc_id", "text", "source", abuse.trained(docs, "doc_id", "text", _table(spark, d, "abuse_labels")))
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return abuse.found(_scored(spark, d), "doc_id")
+
+
+def p8_scores(spark: SparkSession, d: str) -> DataFrame:
+    return _scored(spark, d)
+
+
+def p8_rates(spark: SparkSession, d: str) -> DataFrame:
+    return abuse.rates(_scored(spark, d))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_splits, p2_found, p2_redacted, p3_found, p3_report, p4_found, p4_links, p5_found, p5_collapsed, p6_containers, p6_fill, p7_mix, p7_shares, p7_shares_capped)
+    f.__name__: f for f in (p1_found, p1_splits, p2_found, p2_redacted, p3_found, p3_report, p4_found, p4_links, p5_found, p5_collapsed, p6_containers, p6_fill, p7_mix, p7_shares, p7_shares_capped, p8_found, p8_scores, p8_rates)
 }
 
 _KEY = r"""

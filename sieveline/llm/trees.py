@@ -19,7 +19,8 @@ class Boosted:
     def _binned(self, x: np.ndarray) -> np.ndarray:
         return np.stack([np.searchsorted(e, x[:, j], "left") for j, e in enumerate(self.edges)], 1) if x.shape[1] else np.zeros((len(x), 0), int)
 
-    def fit(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None) -> Boosted:
+    def fit(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None, start: np.ndarray | None = None) -> Boosted:
+        """``start``: margins to begin with; give the same kind to ``margin``."""
         x, y = np.asarray(x, float), np.asarray(y, float)
         w = np.ones(len(y)) if weight is None else np.asarray(weight, float)
         self.nodes = []
@@ -27,14 +28,14 @@ class Boosted:
             self.base = 0.0
             return self
         p = np.clip((w * y).sum() / w.sum(), 1e-3, 1 - 1e-3)
-        self.base = float(np.log(p / (1 - p)))
+        self.base = float(np.log(p / (1 - p))) if start is None else 0.0
         if y.min() == y.max():
             return self
         self.edges = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, self.bins + 1)[1:-1])) for j in range(x.shape[1])]
         b = self._binned(x)
         k, f = self.bins + 1, x.shape[1]
         flat = b + np.arange(f) * k
-        margin = np.full(len(y), self.base)
+        margin = np.full(len(y), self.base) if start is None else np.asarray(start, float).copy()
         for _ in range(self.trees):
             p = 1 / (1 + np.exp(-margin))
             g, h = w * (y - p), np.maximum(w * p * (1 - p), 1e-6)
@@ -73,9 +74,9 @@ class Boosted:
             self.nodes.append((table, value))
         return self
 
-    def margin(self, x: np.ndarray) -> np.ndarray:
+    def margin(self, x: np.ndarray, start: np.ndarray | None = None) -> np.ndarray:
         x = np.asarray(x, float)
-        out = np.full(len(x), self.base)
+        out = np.full(len(x), self.base) if start is None else np.asarray(start, float).copy()
         if not self.nodes or not len(x):
             return out
         b = self._binned(x)
@@ -89,6 +90,7 @@ class Boosted:
         return out
 
     def predict(self, x: np.ndarray) -> np.ndarray:
+        """Probabilities, for models fitted without ``start``."""
         return 1 / (1 + np.exp(-self.margin(x)))
 
 
