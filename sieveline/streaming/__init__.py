@@ -1 +1 @@
-
+"""Extensions for streams; batch operators do not need them."""
