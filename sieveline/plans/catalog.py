@@ -363,7 +363,7 @@ def _scores(spark, d):
     return judged(spark, d).where("run = 'single'").select("y", (F.coalesce("confidence", F.lit(0.0)) * F.col("p")).alias("s"))
 
 
-@query(f"WITH {CURVE}, t AS (SELECT unnest([0.01, 0.05, 0.2])::DOUBLE AS target_fpr) SELECT target_fpr, round(coalesce(max(tp / pos) FILTER (fp / neg <= target_fpr), 0), 6) AS recall, min(s) FILTER (fp / neg <= target_fpr) AS threshold FROM r, t GROUP BY 1")
+@query(f"WITH {CURVE}, t AS (SELECT unnest([0.01, 0.05, 0.2])::DOUBLE AS target_fpr) SELECT target_fpr, round(coalesce(max(coalesce(tp / nullif(pos, 0), 0)) FILTER (coalesce(fp / nullif(neg, 0), 0) <= target_fpr), 0), 6) AS recall, min(s) FILTER (coalesce(fp / nullif(neg, 0), 0) <= target_fpr) AS threshold FROM r, t GROUP BY 1")
 def W06_N05_recall_at_fpr(spark, d):
     return curves.recall_at_fpr(_scores(spark, d), "s", "y", [0.01, 0.05, 0.2])
 
