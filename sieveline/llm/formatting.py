@@ -51,7 +51,7 @@ def canonical(field: int, value: str) -> str:
 def _encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     known: dict[tuple[int, str], bytes | None] = {}
     for pdf in batches:
-        records, rows, fields, digests = [], [], [], []
+        records, rows, slots, digests = [], [], [], []
         for record, code in zip(pdf["record"], pdf["code"]):
             got = []
             for field, raw in code_fields(code):
@@ -64,14 +64,15 @@ def _encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                             known.clear()
                         known[field, raw] = d
                 if d is not None:
-                    got.append((field, d))
-            row = hashlib.md5(b"".join(sorted(d for _, d in got))).digest()[:8]
-            for field, d in got:
+                    got.append(d)
+            got.sort()
+            row = hashlib.md5(b"".join(got)).digest()[:8]
+            for i, d in enumerate(got):
                 records.append(record)
                 rows.append(row)
-                fields.append(field)
+                slots.append(i)
                 digests.append(d)
-        yield from frames({"record": records, "row": rows, "field": fields, "digest": digests})
+        yield from frames({"record": records, "row": rows, "slot": slots, "digest": digests})
 
 
 def format_groups(df: DataFrame, record: str, text: str) -> tuple[DataFrame, DataFrame]:
@@ -83,11 +84,11 @@ def format_groups(df: DataFrame, record: str, text: str) -> tuple[DataFrame, Dat
     """
     kind = dict(df.dtypes)[record]
     rows = df.select(F.col(record).alias("record"), F.col(text).cast("string").alias("code")).where("code IS NOT NULL AND record IS NOT NULL")
-    values = materialize(rows.mapInPandas(_encode, f"record {kind}, row binary, field int, digest binary"), "values")
+    values = materialize(rows.mapInPandas(_encode, f"record {kind}, row binary, slot int, digest binary"), "values")
     words = values.groupBy("digest").agg(F.count(F.lit(1)).alias("uses")).withColumn("one", F.lit(1)).withColumn("g", F.lit(0))
     coded = prefix_sums(words, ["g"], ["digest"], "one", "number").select("digest", "number", "uses")
     numbers = lookup_join(values, coded, "digest", "inner", F.col("record"), "uses")
-    tuples = materialize(numbers.groupBy("record", "row").agg(F.sort_array(F.collect_list("number")).alias("tuple")).select("record", "tuple"), "tuples")
+    tuples = materialize(numbers.groupBy("record", "row").agg(F.transform(F.array_sort(F.collect_set(F.struct("number", "slot"))), lambda x: x["number"]).alias("tuple")).select("record", "tuple"), "tuples")
     release(values)
     groups = tuples.groupBy("tuple").agg(F.min("record").alias("keep"), F.count(F.lit(1)).alias("copies"))
     return tuples, groups

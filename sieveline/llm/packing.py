@@ -141,7 +141,7 @@ def pack(df: DataFrame, record: str, text: str, capacities: DataFrame, kind: str
     n = tokens.count()
     blocks = max(1, math.ceil(n / block_items))
     items = tokens.select("item", F.lit(0).cast("long").alias("piece"), F.lit(0).cast("long").alias("start"), F.col("n_tokens").alias("length"), F.pmod(F.xxhash64("item"), F.lit(blocks)).alias("block"))
-    packed = materialize(items.groupBy("block").applyInPandas(_pack(kinds, 0), SCHEMA), "packed")
+    packed = materialize(items.repartition(blocks, "block").groupBy("block").applyInPandas(_pack(kinds, 0), SCHEMA), "packed")
     done = []
     for round_no in (1, 2, 3):
         if blocks == 1:
@@ -153,7 +153,7 @@ def pack(df: DataFrame, record: str, text: str, capacities: DataFrame, kind: str
         done.append(packed.where(F.col("fill") >= LOOSE))
         blocks = max(1, math.ceil(m / len(kinds) / block_items))
         again = loose.select("container_kind", "item", "piece", "start", "length", F.pmod(F.xxhash64("item", F.lit(round_no)), F.lit(blocks)).alias("block"))
-        packed = materialize(again.groupBy("block").applyInPandas(_pack(kinds, round_no), SCHEMA), "packed")
+        packed = materialize(again.repartition(blocks, "block").groupBy("block").applyInPandas(_pack(kinds, round_no), SCHEMA), "packed")
     for x in done:
         packed = packed.unionByName(x)
     out = packed.join(tokens.select("item", F.col("k0").alias(record)), "item")
