@@ -5,23 +5,29 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.scale import prefix_sums
+from .metrics import counts
+
 
 def stratified_sample(df: DataFrame, record: str, stratum: str, n: int, seed: int = 42) -> DataFrame:
     """About ``n`` rows with each stratum's share, at least one of each: ``max(1, round(size * n / all))`` rows per
-    stratum by a hash of seed and record. A null stratum is a stratum. Rank within a stratum is by hash, so a hot
-    stratum is first cut to a hash range that surely holds its rows."""
+    stratum, the first by a hash of seed and record. A null stratum is a stratum; repeated records count as rows.
+
+    A hash range that surely holds the first rows is cut out before ranks are taken, and ranks come from range
+    partitions, so a stratum of any size, and a sample of any size, spreads over tasks.
+    """
     s = F.coalesce(F.col(stratum).cast("string"), F.lit("unmatched"))
     rows = df.withColumn("_s", s).withColumn("_h", F.md5(F.concat(F.lit(f"{seed}:"), F.col(record).cast("string"))))
     sizes = rows.groupBy("_s").agg(F.count(F.lit(1)).alias("_size"))
     total = F.broadcast(sizes.agg(F.sum("_size").alias("_all")))
     take = F.greatest(F.lit(1), F.bround(F.col("_size") * n / F.col("_all")).cast("long"))
     sizes = sizes.join(total, F.lit(True)).select("_s", "_size", take.alias("_take"))
-    # Eight times the share and 64 rows more: a hash range that holds the first rows except with negligible probability.
+    # Eight times the share and 64 rows more hold the first rows except with negligible probability.
     reach = F.least(F.lit(1.0), (F.col("_take") * 8 + 64) / F.col("_size"))
     first = F.conv(F.substring("_h", 1, 8), 16, 10).cast("double") / float(1 << 32)
-    near = rows.join(F.broadcast(sizes), "_s").where(first <= reach)
-    best = near.groupBy("_s", "_take").agg(F.array_sort(F.collect_list(F.struct("_h", F.struct(*[F.col(c) for c in df.columns]).alias("row")))).alias("rows"))
-    return best.select(F.explode(F.slice("rows", 1, F.col("_take").cast("int"))).alias("x")).select("x.row.*")
+    near = rows.join(sizes, "_s").where(first <= reach).withColumn("_one", F.lit(1)).withColumn("_row", F.monotonically_increasing_id())
+    ranked = prefix_sums(near, ["_s"], ["_h", "_row"], "_one", "_rank")
+    return ranked.where(F.col("_rank") < F.col("_take")).select(*df.columns)
 
 
 def overlay(base: DataFrame, patch: DataFrame, key: str, columns: list[str]) -> DataFrame:
@@ -92,6 +98,4 @@ def layers(df: DataFrame, flags: list[str], y: str) -> DataFrame:
             combos[f"{a}|{b}"], combos[f"{a}&{b}"] = f[a] | f[b], f[a] & f[b]
             combos[f"{a}-{b}"], combos[f"{b}-{a}"] = f[a] & ~f[b], f[b] & ~f[a]
     long = df.where(F.col(y).isNotNull()).select(F.col(y).alias("y"), F.explode(F.array(*[F.struct(F.lit(n).alias("combination"), c.cast("int").alias("p")) for n, c in combos.items()])).alias("x"))
-    from .metrics import counts
-
     return long.select("y", "x.*").groupBy("combination").agg(*counts(F.col("y"), F.col("p")))
