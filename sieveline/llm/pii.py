@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import ast
 import math
+import pickle
 import re
 from collections import defaultdict
 from collections.abc import Iterator
@@ -16,11 +17,11 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.scale import bounded_sample, frames
-from .trees import Boosted, Isotonic, held_out
+from .trees import Boosted, Isotonic
 
 KINDS = ["email", "phone_number", "identity_number", "street_address", "name"]
 #: Labels of gold spans by kind.
@@ -188,49 +189,81 @@ def candidates(text: str, lexicon: NameWords) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
-def _tail(text: str, start: int) -> tuple[str, str]:
-    got = re.findall(r"[^\s]+", text[max(0, start - 45) : start])
-    got = [re.sub(r"\d", "9", w.lower()) for w in got[-2:]]
+DIGIT = re.compile(r"\d")
+HYPHENED = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)+")
+_NAME = r"([^\W\d_]+(?:-[^\W\d_]+)*)"
+NAME_BEFORE, NAME_COMMA, INITIAL_BEFORE = re.compile(_NAME + r"[.]?[ ]$"), re.compile(_NAME + r",[ ]$"), re.compile(r"[^\W\d_]\.[ ]$")
+NAME_AFTER, COMMA_NAME, INITIAL_AFTER = re.compile(r"[ ]" + _NAME), re.compile(r",[ ]" + _NAME), re.compile(r"[ ][^\W\d_]\.")
+
+
+def _tail(near: str) -> tuple[str, str]:
+    """The last word, and the last two, before a place."""
+    got = [DIGIT.sub("9", w) for w in near.lower().split()[-2:]]
     return (got[-1] if got else "^"), " ".join(got)
 
 
-def _head(text: str, end: int) -> str:
-    got = re.findall(r"[^\s]+", text[end : end + 30])
-    return re.sub(r"\d", "9", got[0].lower()) if got else "$"
-
-
-def facts(text: str, locale: str, c: tuple[int, int, int], lexicon: NameWords) -> tuple[list[int], list[float]]:
-    """A candidate's categorical facts, hashed (encoded by their rates later), and numeric ones."""
-    s, e, kind = c
-    x = text[s:e]
-    left, left2 = _tail(text, s)
-    right = _head(text, e)
-    words = LETTERS.findall(x)
-    digits = sum(ch.isdigit() for ch in x)
-    glued_left = text[s - 1] if s else "^"
-    glued_right = text[e] if e < len(text) else "$"
-    if kind == 4:
-        sh = re.sub(r"[A-Z]\.", "I.", shape(re.sub(r"[^\W\d_]+(?:['’-][^\W\d_]+)+", "Xx" if x[:1].isupper() else "xx", x)) if not x.isupper() else shape(x))
-    else:
-        sh = shape(x) if kind != 3 else re.sub(r"9+", "9", shape(x))
-    cats = [f"s{kind}{sh}", f"sl{kind}{locale}{sh}", f"l{kind}{left}", f"b{kind}{left2}", f"r{kind}{right}", f"g{kind}{glued_left!r}{glued_right!r}",
-            f"f{kind}{re.sub(chr(92) + 'd', '9', x.split()[0].lower()) if x.split() else ''}", f"t{kind}{re.sub(chr(92) + 'd', '9', x.split()[-1].lower()) if x.split() else ''}"]
-    nums = [len(x), digits, len(words), x.count(",") + x.count("\n") + x.count(" - "), float(x.isupper()), float(x[:1].isupper()), float(glued_left.isspace()), float(glued_right.isspace())]
-    if kind in (1, 2):
-        nums += [float(EXTENSION.match(text, e) is not None), float(EXTENSION.search(x) is not None)]
-    if kind == 4:
-        own = [w for w in WORD.findall(x) if len(w) > 1]
-        got = [_compound(lexicon, w) for w in own] or [(0.0, 0.0, 0.0, 0.0)]
-        before, after = re.search(r"([^\W\d_]+(?:-[^\W\d_]+)*)[.]?[ ]$", text[max(0, s - 30) : s]), re.match(r"[ ]([^\W\d_]+(?:-[^\W\d_]+)*)", text[e : e + 30])
-        comma_after, comma_before = re.match(r",[ ]([^\W\d_]+(?:-[^\W\d_]+)*)", text[e : e + 30]), re.search(r"([^\W\d_]+(?:-[^\W\d_]+)*),[ ]$", text[max(0, s - 30) : s])
-        nums += [min(g[0] for g in got), max(g[0] for g in got), got[0][1], got[-1][2], min(g[3] for g in got), got[0][2], got[-1][1]]
-        for m in (before, after, comma_before, comma_after):
-            g = _compound(lexicon, m[1]) if m else (-1.0, -1.0, -1.0, 0.0)
-            nums += [g[0], g[1], g[2]]
-        nums += [float(bool(re.search(r"[^\W\d_]\.[ ]$", text[max(0, s - 3) : s]))), float(bool(re.match(r"[ ][^\W\d_]\.", text[e : e + 3]))), float("," in x), float("." in x)]
-        low = [w.lower() for w in own] or [""]
-        cats += [f"p{kind}{low[-1][-4:]}", f"q{kind}{low[0][:4]}", f"fg{low[0]}" if len(own) == 1 else f"f2{low[0]}"]
-    return [xxhash.xxh3_64_intdigest(c.encode("utf-8", "surrogatepass")) - (1 << 63) for c in cats], nums
+def _head(near: str) -> str:
+    got = near.lower().split(None, 1)
+    return DIGIT.sub("9", got[0]) if got else "$"
+
+
+class Facts:
+    """Format and context of a text's candidates; what several of them share is read once."""
+
+    def __init__(self, text: str, locale: str, lexicon: NameWords):
+        self.text, self.locale, self.lexicon = text, locale, lexicon
+        self.lefts: dict[int, tuple] = {}
+        self.rights: dict[int, tuple] = {}
+        self.insides: dict[tuple[int, int], tuple] = {}
+
+    def left(self, s: int) -> tuple:
+        if s not in self.lefts:
+            near = self.text[max(0, s - 45) : s]
+            word, two = _tail(near)
+            before, comma = NAME_BEFORE.search(near), NAME_COMMA.search(near)
+            self.lefts[s] = word, two, self.text[s - 1] if s else "^", before and before[1], comma and comma[1], float(bool(INITIAL_BEFORE.search(near)))
+        return self.lefts[s]
+
+    def right(self, e: int) -> tuple:
+        if e not in self.rights:
+            near = self.text[e : e + 30]
+            after, comma = NAME_AFTER.match(near), COMMA_NAME.match(near)
+            self.rights[e] = _head(near), near[0] if near else "$", after and after[1], comma and comma[1], float(bool(INITIAL_AFTER.match(near))), float(EXTENSION.match(self.text, e) is not None)
+        return self.rights[e]
+
+    def inside(self, s: int, e: int) -> tuple:
+        if (s, e) not in self.insides:
+            x = self.text[s:e]
+            words = x.lower().split() or [""]
+            nums = [len(x), sum(map(str.isdigit, x)), len(LETTERS.findall(x)), x.count(",") + x.count("\n") + x.count(" - "), float(x.isupper()), float(x[:1].isupper())]
+            self.insides[s, e] = x, shape(x), DIGIT.sub("9", words[0]), DIGIT.sub("9", words[-1]), nums, float(EXTENSION.search(x) is not None)
+        return self.insides[s, e]
+
+    def of(self, c: tuple[int, int, int]) -> tuple[list[int], list[float]]:
+        """A candidate's categorical facts, hashed (encoded by their rates later), and numeric ones."""
+        s, e, kind = c
+        left, left2, glued_left, before, comma_before, initial_before = self.left(s)
+        right, glued_right, after, comma_after, initial_after, extended = self.right(e)
+        x, sh, first, last, nums, extension = self.inside(s, e)
+        if kind == 4:
+            plain = x if x.isupper() else HYPHENED.sub("Xx" if x[:1].isupper() else "xx", x)
+            sh = re.sub(r"[A-Z]\.", "I.", shape(plain))
+        elif kind == 3:
+            sh = re.sub("9+", "9", sh)
+        cats = [f"s{kind}{sh}", f"sl{kind}{self.locale}{sh}", f"l{kind}{left}", f"b{kind}{left2}", f"r{kind}{right}", f"g{kind}{glued_left!r}{glued_right!r}", f"f{kind}{first}", f"t{kind}{last}"]
+        nums = [*nums, float(glued_left.isspace()), float(glued_right.isspace())]
+        if kind in (1, 2):
+            nums += [extended, extension]
+        if kind == 4:
+            own = [w for w in WORD.findall(x) if len(w) > 1]
+            got = [_compound(self.lexicon, w) for w in own] or [(0.0, 0.0, 0.0, 0.0)]
+            nums += [min(g[0] for g in got), max(g[0] for g in got), got[0][1], got[-1][2], min(g[3] for g in got), got[0][2], got[-1][1]]
+            for w in (before, after, comma_before, comma_after):
+                nums += _compound(self.lexicon, w)[:3] if w else (-1.0, -1.0, -1.0)
+            nums += [initial_before, initial_after, float("," in x), float("." in x)]
+            low = [w.lower() for w in own] or [""]
+            cats += [f"p{kind}{low[-1][-4:]}", f"q{kind}{low[0][:4]}", f"fg{low[0]}" if len(own) == 1 else f"f2{low[0]}"]
+        return [xxhash.xxh3_64_intdigest(c.encode("utf-8", "surrogatepass")) - (1 << 63) for c in cats], nums
 
 
 def _compound(lexicon: NameWords, w: str) -> tuple[float, float, float, float]:
@@ -298,10 +331,11 @@ class Model:
         """(start, end, kind, probability, margin) of each text's candidates."""
         found: dict[int, tuple[list, list, list]] = {k: ([], [], []) for k in range(len(KINDS))}
         for i, (text, locale) in enumerate(texts):
+            facts = Facts(text, locale, self.lexicon)
             for c in candidates(text, self.lexicon):
                 if c[2] not in self.trees:
                     continue
-                cats, nums = facts(text, locale, c, self.lexicon)
+                cats, nums = facts.of(c)
                 found[c[2]][0].append((i, c))
                 found[c[2]][1].append(cats)
                 found[c[2]][2].append(nums)
@@ -344,26 +378,36 @@ def _lexicon(docs: list[tuple[str, str, list]]) -> NameWords:
     return NameWords({w: tuple(r) for w, r in inside.items()})
 
 
+def _rows(lexicons: list[NameWords], part: tuple[int, list]) -> list[tuple | None]:
+    """By kind, of the texts from the given number on: text number, start, end, hashed facts, numbers, label, weight."""
+    begin, docs = part
+    got: list[tuple[list, ...]] = [([], [], [], [], [], []) for _ in KINDS]
+    for i, (text, locale, spans) in enumerate(docs, begin):
+        true = {(s, e, KINDS.index(k)) for s, e, k in spans}
+        lexicon = lexicons[i % FOLDS]
+        facts = Facts(text, locale, lexicon)
+        for c in candidates(text, lexicon):
+            y = c in true
+            # Negatives apart from any gold span are many and alike: one in four stands for all.
+            far = not any(a < c[1] and c[0] < b for a, b, _ in true)
+            if far and (c[0] * 31 + c[1] * 17 + i) % 4:
+                continue
+            cats, nums = facts.of(c)
+            for column, v in zip(got[c[2]], (i, c[:2], cats, nums, y, 4.0 if far else 1.0)):
+                column.append(v)
+    return [(np.array(d), np.array(p), np.array(a), np.array(n, np.float32), np.array(y, np.float32), np.array(w, np.float32)) if d else None for d, p, a, n, y, w in got]
+
+
 class _Table:
-    """All candidates of the labelled texts, by kind: text number, place, hashed facts, numbers, label."""
-
-    def __init__(self, docs: list, lexicons: list[NameWords]):
-        got: list[tuple[list, ...]] = [([], [], [], [], [], []) for _ in KINDS]
-        self.true: list[set] = []
-        for i, (text, locale, spans) in enumerate(docs):
-            true = {(s, e, KINDS.index(k)) for s, e, k in spans}
-            self.true.append(true)
-            lexicon = lexicons[i % FOLDS]
-            for c in candidates(text, lexicon):
-                y = c in true
-                # Negatives apart from any gold span are many and alike: one in four stands for all.
-                far = not any(a < c[1] and c[0] < b for a, b, _ in true)
-                if far and (c[0] * 31 + c[1] * 17 + i) % 4:
-                    continue
-                cats, nums = facts(text, locale, c, lexicon)
-                for column, v in zip(got[c[2]], (i, c, np.array(cats), np.array(nums, np.float32), y, 4.0 if far else 1.0)):
-                    column.append(v)
-        self.kinds = [(np.array(d, int), c, np.array(a), np.array(n), np.array(y, float), np.array(w)) if d else None for d, c, a, n, y, w in got]
+    """All candidates of the labelled texts, by kind."""
+
+    def __init__(self, docs: list, lexicons: list[NameWords], spread):
+        self.true = [[(s, e) for s, e, _ in spans] for _, _, spans in docs]
+        parts = spread(_rows, lexicons, [(i, docs[i : i + 100]) for i in range(0, len(docs), 100)])
+        self.kinds = []
+        for k in range(len(KINDS)):
+            own = [p[k] for p in parts if p[k]]
+            self.kinds.append(tuple(np.concatenate(c) for c in zip(*own)) if own else None)
 
     def encoder(self, without: int | None = None) -> Encoder:
         own = [(k, t) for k, t in enumerate(self.kinds) if t]
@@ -383,39 +427,83 @@ class _Table:
 FOLDS = 3
 
 
-def _apart(doc: np.ndarray, place: list, margin: np.ndarray) -> list[int]:
+def _apart(doc: np.ndarray, place: np.ndarray, margin: np.ndarray) -> list[int]:
     """Candidates by falling margin, without those that overlap a better one of their text."""
     taken: dict[int, list[tuple[int, int]]] = defaultdict(list)
     kept = []
-    for i in np.argsort(-margin - LONGER * np.array([e - s for s, e, _ in place]), kind="stable"):
-        s, e, _ = place[i]
+    for i in np.argsort(-margin - LONGER * (place[:, 1] - place[:, 0]), kind="stable"):
+        s, e = place[i]
         if margin[i] > -4 and all(e <= a or s >= b for a, b in taken[doc[i]]):
             taken[doc[i]].append((s, e))
             kept.append(int(i))
     return sorted(kept, key=lambda i: -margin[i]) or [0]
 
 
-def fit(docs: list[tuple[str, str, list[tuple[int, int, str]]]]) -> Model:
+def serially(run, shared, items: list) -> list:
+    return [run(shared, x) for x in items]
+
+
+def by_tasks(spark: SparkSession):
+    """The same with one task for each item; what the tasks share is broadcast and bounded, as is what they return."""
+
+    def spread(run, shared, items: list) -> list:
+        sent = spark.sparkContext.broadcast((shared, items))
+
+        def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                own, given = sent.value
+                for i in pdf["id"]:
+                    yield from frames({"id": [i], "out": [pickle.dumps(run(own, given[i]))]})
+
+        got = spark.range(0, len(items), 1, max(1, len(items))).mapInPandas(work, "id long, out binary").collect()
+        return [pickle.loads(r["out"]) for r in sorted(got, key=lambda r: r["id"])]
+
+    return spread
+
+
+def _fitted(data: dict, job: tuple[int, int | None, dict]) -> np.ndarray | Boosted:
+    """Margins of one fold by a model of the others, or a model of all."""
+    kind, fold, params = job
+    x, y, weight, folds = data[kind]
+    if fold is None:
+        return Boosted(**params).fit(x, y, weight)
+    own = folds == fold
+    return Boosted(**params).fit(x[~own], y[~own], weight[~own]).margin(x[own])
+
+
+def fit(docs: list[tuple[str, str, list[tuple[int, int, str]]]], spread=serially) -> Model:
     """A model from (text, locale, gold spans). Texts whose gold misses what the first round finds without doubt are
     left out of the second round, as their gold is incomplete. Without any gold the model finds nothing."""
     model = Model()
     for round_no in range(2):
         # Each text sees the name words of the others, so that unknown names occur in training too.
-        table = _Table(docs, [_lexicon([d for i, d in enumerate(docs) if i % FOLDS != k]) for k in range(FOLDS)])
+        table = _Table(docs, [_lexicon([d for i, d in enumerate(docs) if i % FOLDS != k]) for k in range(FOLDS)], spread)
         encs = [table.encoder(k) for k in range(FOLDS)]
-        suspect: set[int] = set()
+        data = {}
         for kind, t in enumerate(table.kinds):
-            if not t or len(t[4]) < 20 or t[4].sum() < 5:
-                continue
-            doc, place, cats, nums, y, weight = t
-            folds = doc % FOLDS
-            x = np.zeros((len(y), 2 * cats.shape[1] + nums.shape[1]), np.float32)
+            if t and len(t[4]) >= 20 and t[4].sum() >= 5:
+                doc, _, cats, nums, y, weight = t
+                x = np.zeros((len(y), 2 * cats.shape[1] + nums.shape[1]), np.float32)
+                for k in range(FOLDS):
+                    at = doc % FOLDS == k
+                    x[at] = np.hstack([encs[k].rates(kind, cats[at]), nums[at]])
+                data[kind] = x, y, weight, doc % FOLDS
+        # Gold is wrong in places, so leaves are large and steps are damped.
+        params = {"depth": 4, "leaf": 12.0, "ridge": 6.0} | ({"trees": 50, "rate": 0.2} if round_no else {"trees": 25, "rate": 0.4})
+        # Names take many forms and contexts, so they get finer trees.
+        own = {kind: params | ({"leaf": 6.0, "ridge": 3.0, "depth": 5, "trees": params["trees"] * 3 // 2} if KINDS[kind] == "name" else {}) for kind in data}
+        jobs = [(kind, k, own[kind]) for kind in data for k in range(FOLDS)]
+        if round_no:
+            jobs += [(kind, None, own[kind]) for kind in data]
+        results = dict(zip(((kind, k) for kind, k, _ in jobs), spread(_fitted, data, jobs)))
+        suspect: set[int] = set()
+        for kind, (_, y, weight, folds) in data.items():
+            doc, place = table.kinds[kind][:2]
+            oof = np.zeros(len(y))
             for k in range(FOLDS):
-                at = folds == k
-                x[at] = np.hstack([encs[k].rates(kind, cats[at]), nums[at]])
-            oof = held_out(x, y, folds, weight, trees=50 if round_no else 25, depth=4, rate=0.2 if round_no else 0.4)
-            for i, c, m, v in zip(doc, place, oof, y):
-                if not v and m > 1.0 and not any(a < c[1] and c[0] < b for a, b, _ in table.true[i]):
+                oof[folds == k] = results[kind, k]
+            for i, (s, e), m, v in zip(doc, place, oof, y):
+                if not v and m > 1.0 and not any(a < e and s < b for a, b in table.true[i]):
                     suspect.add(int(i))
             order = np.array(_apart(doc, place, oof))
             tp, n = np.cumsum(y[order]), np.cumsum(weight[order])
@@ -427,7 +515,7 @@ def fit(docs: list[tuple[str, str, list[tuple[int, int, str]]]]) -> Model:
             model.calibration[kind] = Isotonic().fit(np.repeat(oof, weight.astype(int)), np.repeat(y, weight.astype(int)))
             model.thresholds[kind] = float((oof[order[best]] + after) / 2)
             if round_no:
-                model.trees[kind] = Boosted(70, 4, 0.2).fit(x, y, weight)
+                model.trees[kind] = results[kind, None]
         if not round_no:
             docs = [d for i, d in enumerate(docs) if i not in suspect]
     model.lexicon, model.encoder = _lexicon(docs), table.encoder()
@@ -439,7 +527,7 @@ def trained(df: DataFrame, record: str, text: str, spans: str, locale: str, samp
     rows = df.select(F.col(record).alias("record"), F.col(text).alias("text"), F.col(locale).alias("locale"), F.col(spans).alias("spans")).where("text IS NOT NULL AND spans IS NOT NULL AND length(text) < 20000")
     got = bounded_sample(rows, ["record", "text"], sample).collect()
     docs = [(r["text"], r["locale"] or "", g) for r in sorted(got, key=lambda r: (str(r["record"]), r["text"])) if (g := gold(r["text"], r["spans"])) is not None]
-    return fit(docs)
+    return fit(docs, by_tasks(df.sparkSession))
 
 
 def find_spans(df: DataFrame, record: str, text: str, locale: str, model: Model) -> DataFrame:
