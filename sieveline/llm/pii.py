@@ -97,11 +97,11 @@ def _addresses(text: str) -> Iterator[tuple[int, int]]:
         ends = [m.end()]
         if m[0][-1].isdigit() and not re.match(r"[A-Za-z]{2}\s", m[0]):
             t = TOWN.match(text, m.end())
-            if not t:
+            if not t or not t[0].strip()[0].isupper():
                 continue
             ends = [t.end()]
             t2 = TOWN.match(text, t.end())
-            if t2:
+            if t2 and t2[0].strip()[0].isupper():
                 ends.append(t2.end())
         low = max(0, m.start() - 110)
         for s in START.finditer(text, low, m.start()):
