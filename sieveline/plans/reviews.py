@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import detectors, joins, metrics, models, spans, tags, triage
-from ..sources import readers
+from ..operators import detectors, metrics, models, spans, tags, triage
 from .catalog import COUNTS, FLAG, H, J, G, P, S, UNSAFE, V, flagged, gold, judged, latest, pair, query, rate_sql, rates_sql, samples, scanner, table
 from .pipeline import Pipeline, routed
 from .scale import prefix_sums
