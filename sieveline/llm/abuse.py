@@ -276,7 +276,8 @@ def trained(df: DataFrame, record: str, text: str, marks: DataFrame, sample: int
     are split on are left out, as are null marks."""
     votes = marks.select(F.col(record).alias("record"), *[F.col(k).cast("double").alias(k) for k in KINDS]).where("record IS NOT NULL").groupBy("record").agg(*[F.avg(k).alias(k) for k in KINDS])
     votes = bounded_sample(votes, ["record"], sample)
-    rows = df.select(F.col(record).alias("record"), F.col(text).alias("text")).where("text IS NOT NULL").join(votes, "record").limit(2 * sample).collect()
+    # At most twice the sample's rows, so the texts of all other documents need no shuffle.
+    rows = df.select(F.col(record).alias("record"), F.col(text).alias("text")).where("text IS NOT NULL").join(F.broadcast(votes), "record").limit(2 * sample).collect()
     rows = sorted((r for r in rows if all(r[k] in (0.0, 1.0) for k in KINDS)), key=lambda r: (str(r["record"]), r["text"]))
     return fit([r["text"] for r in rows], np.array([[r[k] for k in KINDS] for r in rows]).reshape(-1, 3))
 

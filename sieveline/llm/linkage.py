@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.scale import BROADCAST_ROWS, frames, materialize, most_used, release
+from ..plans.scale import BROADCAST_ROWS, frames, materialize, most_used
 from .overlap import COMMENT
 
 TOKEN = re.compile(r'"(?:[^"\\\n]|\\.)*"|\'(?:[^\'\\\n]|\\.)*\'|[^\W\d]\w*|\d\w*|->|[^\s\w]')

@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.scale import frames, lookup_join, materialize, n_parts, prefix_sums
+from ..plans.scale import frames, lookup_join, materialize, prefix_sums
 
 #: Names that stand for no entity.
 PLACEHOLDERS = ["", "-", "--", "?", "n/a", "na", "nan", "none", "null", "unknown", "unspecified", "tbd", "todo", "missing", "undefined"]
