@@ -60,8 +60,9 @@ def cwe_is_named(c: Column) -> Column:
     return c.isin([f"CWE-{n}" for n in NAMED_CWES])
 
 
-def c_tokens(c: Column, limit: int = 8000) -> Column:
-    return F.regexp_extract_all(F.substring(c, 1, limit), F.lit(C_TOKEN), F.lit(0))
+def c_tokens(c: Column, limit: int | None = None) -> Column:
+    """C tokens of the whole text, or of its first ``limit`` characters where a model was fitted so."""
+    return F.regexp_extract_all(F.substring(c, 1, limit) if limit else c, F.lit(C_TOKEN), F.lit(0))
 
 
 def short_hash(c: Column) -> Column:

@@ -495,7 +495,7 @@ def F01_F04_F07_normal(spark, d):
 TOKEN_SQL = T.C_TOKEN.replace("'", "''")
 
 
-@query(f"SELECT unique_id, len(regexp_extract_all(substr(code, 1, 8000), '{TOKEN_SQL}')) AS n, len(list_distinct(regexp_extract_all(substr(code, 1, 8000), '{TOKEN_SQL}'))) AS kinds FROM codereview")
+@query(f"SELECT unique_id, len(regexp_extract_all(code, '{TOKEN_SQL}')) AS n, len(list_distinct(regexp_extract_all(code, '{TOKEN_SQL}'))) AS kinds FROM codereview")
 def F10_c_tokens(spark, d):
     t = T.c_tokens(F.col("code"))
     return table(spark, d, "codereview", "unique_id", "code").select("unique_id", F.size(t).cast("long").alias("n"), F.size(F.array_distinct(t)).cast("long").alias("kinds"))

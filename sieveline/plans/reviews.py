@@ -308,3 +308,10 @@ def G06_boosted(spark, d):
 def G11_held_out_project(spark, d):
     rows = gold(spark, d, "code", "gold_source_project").where("y IS NOT NULL").withColumn("group", F.when(F.col("gold_source_project") == "galtagate", "galtagate").otherwise("rest"))
     return models.held_out_group(rows, "code", "y", "group", "galtagate", code=True, rounds=10)
+
+
+@query()
+def G12_G13_code_folds(spark, d):
+    """Rates of predictions for each fold of fragments by a model of the others."""
+    rows = gold(spark, d, "code").where("y IS NOT NULL")
+    return metrics.binary(models.out_of_fold(rows, "unique_id", "code", "y", folds=3, code=True, rounds=10), "y", "prediction")
