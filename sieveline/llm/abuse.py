@@ -119,17 +119,19 @@ def sentences(text: str) -> list[str]:
     return [s for s in SENTENCE.split(text) if s and len(s) > 3]
 
 
+#: A sentence without any word of these speaks for nothing.
+TELLING = frozenset().union(*(LEXICONS[k] for k in ("insult", "threat", "silence", "contempt", "slur", "people", "sexual", "you")))
+
+
 class Sentence:
     """One sentence's words and dense features."""
 
-    __slots__ = ("words", "hits", "x")
+    __slots__ = ("words", "x")
 
-    def __init__(self, text: str):
-        got = [word_of(t) for t in TOKEN.findall(text)]
+    def __init__(self, text: str, got: list[tuple[str, bool]]):
         self.words = [w for w, _ in got if w]
         n = max(1, len(got))
         at = {k: [i for i, (w, _) in enumerate(got) if w in lex] for k, lex in LEXICONS.items()}
-        self.hits = sum(len(at[k]) for k in ("insult", "threat", "silence", "contempt", "slur", "people", "sexual")) + len(at["you"])
         odd = sum(o for _, o in got)
 
         def near(a: str, b: str) -> float:
@@ -154,8 +156,13 @@ class Sentence:
 
 
 def doc_sentences(text: str) -> list[Sentence]:
-    """The sentences with any word of a lexicon; others speak for nothing."""
-    return [s for s in map(Sentence, sentences(text)) if s.hits]
+    """The sentences with any telling word."""
+    out = []
+    for s in sentences(text):
+        got = [word_of(t) for t in TOKEN.findall(s)]
+        if any(w in TELLING for w, _ in got):
+            out.append(Sentence(s, got))
+    return out
 
 
 class Odds:
