@@ -263,7 +263,17 @@ class Facts:
             nums += [initial_before, initial_after, float("," in x), float("." in x)]
             low = [w.lower() for w in own] or [""]
             cats += [f"p{kind}{low[-1][-4:]}", f"q{kind}{low[0][:4]}", f"fg{low[0]}" if len(own) == 1 else f"f2{low[0]}"]
-        return [xxhash.xxh3_64_intdigest(c.encode("utf-8", "surrogatepass")) - (1 << 63) for c in cats], nums
+        return [_hash(c) for c in cats], nums
+
+    def gate(self, c: tuple[int, int, int]) -> int:
+        """The fact that alone can rule a candidate out: a number's format, else its first word."""
+        s, e, kind = c
+        got = self.inside(s, e)
+        return _hash(f"s{kind}{got[1]}" if kind in (1, 2) else f"f{kind}{got[2]}")
+
+
+def _hash(text: str) -> int:
+    return xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63)
 
 
 def _compound(lexicon: NameWords, w: str) -> tuple[float, float, float, float]:
@@ -321,6 +331,7 @@ class Model:
     def __init__(self) -> None:
         self.lexicon, self.encoder = NameWords({}), None
         self.trees: dict[int, Boosted] = {}
+        self.gates: dict[int, set[int]] = {}
         self.calibration: dict[int, Isotonic] = {}
         self.thresholds: dict[int, float] = {}
 
@@ -333,7 +344,7 @@ class Model:
         for i, (text, locale) in enumerate(texts):
             facts = Facts(text, locale, self.lexicon)
             for c in candidates(text, self.lexicon):
-                if c[2] not in self.trees:
+                if c[2] not in self.trees or facts.gate(c) in self.gates[c[2]]:
                     continue
                 cats, nums = facts.of(c)
                 found[c[2]][0].append((i, c))
@@ -425,6 +436,13 @@ class _Table:
 
 
 FOLDS = 3
+#: Negatives a format or first word needs, and no positive, to be ruled out before its features are read.
+NEVER = 40
+
+
+def _never(ids: np.ndarray, y: np.ndarray, weight: np.ndarray) -> set[int]:
+    keys, at = np.unique(ids, return_inverse=True)
+    return set(keys[(np.bincount(at, weight * (1 - y)) >= NEVER) & (np.bincount(at, y) == 0)].tolist())
 
 
 def _apart(doc: np.ndarray, place: np.ndarray, margin: np.ndarray) -> list[int]:
@@ -516,6 +534,7 @@ def fit(docs: list[tuple[str, str, list[tuple[int, int, str]]]], spread=serially
             model.thresholds[kind] = float((oof[order[best]] + after) / 2)
             if round_no:
                 model.trees[kind] = results[kind, None]
+                model.gates[kind] = _never(table.kinds[kind][2][:, 0 if kind in (1, 2) else 6], y, weight)
         if not round_no:
             docs = [d for i, d in enumerate(docs) if i not in suspect]
     model.lexicon, model.encoder = _lexicon(docs), table.encoder()
