@@ -116,6 +116,21 @@ _KEY = r"""
 regexp_replace(regexp_extract(regexp_replace(regexp_replace(lower(regexp_replace({0}, '[\s  　]+', '', 'g')), '[/\\]+$', ''), '\.git$', ''), '([^/\\:]*)$', 1), '[-_.,;''"()\[\]]+', '', 'g')"""
 _BLANK = "lower(regexp_replace({0}, '\\s+', '', 'g')) IN (" + ", ".join(f"'{p}'" for p in splits.PLACEHOLDERS) + ")"
 
+# Every pair of held-out and training fragments that shares a run at all is counted out.
+_PAIRS = r"""
+WITH runs AS (SELECT unique_id, split, unnest(regexp_extract_all(regexp_replace(lower(code), '(?s:/\*.*?(?:\*/|\z))|//[^\n]*', ' ', 'g'), '\w+')) AS w FROM codereview),
+uses AS (SELECT unique_id, split, w, count(*) AS n FROM runs GROUP BY ALL), sizes AS (SELECT unique_id, sum(n) AS size FROM uses GROUP BY 1),
+shared AS (SELECT e.unique_id AS held_id, t.unique_id AS train_id, sum(least(e.n, t.n)) AS common FROM uses e JOIN uses t USING (w) WHERE e.split IN ('validation', 'test') AND t.split = 'train' GROUP BY ALL),
+pairs AS (SELECT held_id, train_id FROM shared JOIN sizes a ON a.unique_id = held_id JOIN sizes b ON b.unique_id = train_id WHERE common >= 0.85 * greatest(a.size, b.size) - 1e-9)"""
+_RUNS = r"array_to_string(regexp_extract_all({0}, '\w+'), ' ')"
+_LIST = r"\{[^{}\w]*\.\W*\w+\W*=[^{}]*\}"
+_COPIES = rf"""
+WITH parts AS (SELECT unique_id, lower(code) AS code, regexp_extract(lower(code), '^\W*?/\*(?s:.*?)\*/') AS head FROM codereview),
+cut AS (SELECT unique_id, head, regexp_split_to_array(substr(code, length(head) + 1), '{_LIST}') AS rest, regexp_extract_all(substr(code, length(head) + 1), '{_LIST}') AS lists FROM parts),
+keyed AS (SELECT unique_id, md5(array_to_string(list_sort(list_filter(list_transform(regexp_split_to_array(head, '[\r\n*]+'), lambda x: {_RUNS.format('x')}), lambda x: x <> '')), '|') || '#'
+|| trim(regexp_replace(array_to_string(list_transform(range(1, len(rest) + 1), lambda i: {_RUNS.format('rest[i]')} || ' ' || coalesce(array_to_string(list_sort(list_transform(string_split(lists[i], ','), lambda x: {_RUNS.format('x')})), ' '), '')), ' '), ' +', ' ', 'g'))) AS k FROM cut),
+kept AS (SELECT k, min(unique_id) AS keep_id, count(*) AS copies FROM keyed GROUP BY 1)"""
+
 ORACLES: dict[str, str] = {
     "p1_found": f"""
 WITH RECURSIVE links AS (SELECT {_KEY.format('alias')} AS a, {_KEY.format('project')} AS b FROM project_aliases),
@@ -125,4 +140,9 @@ comp AS (SELECT a, min(b) AS c FROM reach GROUP BY a),
 rows AS (SELECT unique_id, split, {_KEY.format('gold_source_project')} AS k FROM codereview WHERE NOT ({_BLANK.format('gold_source_project')})),
 named AS (SELECT unique_id, split, coalesce(c, k) AS c FROM rows LEFT JOIN comp ON k = a WHERE k <> '')
 SELECT unique_id FROM named WHERE split IN ('validation', 'test') AND c IN (SELECT c FROM named WHERE split = 'train')""",
+    "p3_found": f"{_PAIRS} SELECT least(held_id, train_id) AS id_a, greatest(held_id, train_id) AS id_b FROM pairs",
+    "p3_report": f"""{_PAIRS}, hit AS (SELECT held_id, count(*) AS n FROM pairs GROUP BY 1)
+SELECT split, gold_source_project, count(*) AS held_records, count(n) AS overlapping, coalesce(sum(n), 0)::BIGINT AS pairs FROM codereview LEFT JOIN hit ON held_id = unique_id WHERE split IN ('validation', 'test') GROUP BY ALL""",
+    "p5_found": f"{_COPIES} SELECT keep_id, unique_id AS copy_id FROM keyed JOIN kept USING (k) WHERE unique_id <> keep_id",
+    "p5_collapsed": f"{_COPIES} SELECT keep_id, copies FROM kept",
 }
