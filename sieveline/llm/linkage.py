@@ -117,7 +117,7 @@ def _profile(code: str) -> tuple:
     st = statements(code)
     plain = [s for s, _ in st]
     guards = tuple(sum(bool(g.match(s)) for _, s in st) for g in GUARDS)
-    return Counter(plain), Counter(zip(plain, plain[1:])), names(code), function_name(code), guards, max(1, len(plain))
+    return Counter(plain), Counter(zip(plain, plain[1:])), names(code), function_name(code), guards, max(1, len(plain)), _hash(" ".join(TOKEN.findall(COMMENT.sub(" ", code).lower())))
 
 
 def _share(x: Counter, y: Counter) -> float:
@@ -147,8 +147,8 @@ def _compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             ids = len(x[2] & y[2]) / max(1, min(len(x[2]), len(y[2])))
             size = min(x[5], y[5]) / max(x[5], y[5])
             rows.append((_level((same + order) / 2, (0.3, 0.5, 0.7, 0.85)), _level(ids, (0.2, 0.4, 0.6, 0.8)), int(bool(x[3]) and x[3] == y[3]), _level(size, (0.4, 0.7)),
-                         int(x[4] == y[4]), (same + order) / 2 * size + ids / 10))
-        made = ("c_statements", "c_names", "c_function", "c_size", "c_guards", "closeness")
+                         int(x[4] == y[4]), (same + order) / 2 * size + ids / 10, x[6]))
+        made = ("c_statements", "c_names", "c_function", "c_size", "c_guards", "closeness", "twin")
         yield from frames({c: list(pdf[c]) for c in ("left_id", "right_id", "origin", "c_label", "c_cwe")} | {c: [r[i] for r in rows] for i, c in enumerate(made)})
 
 
@@ -189,8 +189,11 @@ STATE = ["c_guards", "c_label", "c_cwe"]
 
 
 def _posteriors(pairs: DataFrame, columns: list[str], start, name: str) -> DataFrame:
-    """Patterns with their posterior; there are at most as many as products of levels (here 150), so they may be collected."""
-    got = pairs.groupBy(*columns).count().orderBy(*columns).collect()
+    """Patterns with their posterior; there are at most as many as products of levels (here 150), so they may be collected.
+
+    Copies of a left record count once, so that a group of copies does not outweigh all others.
+    """
+    got = pairs.select("twin", "right_id", *columns).distinct().groupBy(*columns).count().orderBy(*columns).collect()
     x = np.array([[r[c] for c in columns] for r in got], dtype=int).reshape(-1, len(columns))
     post = expectation_maximisation(x, np.array([r["count"] for r in got], dtype=float), np.array([start(dict(zip(columns, r))) for r in x.tolist()]))
     rows = [(*map(int, r), float(p)) for r, p in zip(x.tolist(), post)]
@@ -233,7 +236,7 @@ def match_functions(left: DataFrame, right: DataFrame, left_cols: tuple[str, str
     lb = once.select(F.col("record").alias("right_id"), "origin", F.col("code").alias("code_b"), F.col("label").alias("label_b"), F.col("cwe").alias("cwe_b"))
     pairs = cand.join(lb, "right_id").join(la, "left_id")
     pairs = pairs.select("left_id", "right_id", "origin", agreement(F.col("label_a"), F.col("label_b")).alias("c_label"), agreement(F.col("cwe_a"), F.col("cwe_b")).alias("c_cwe"), "code_a", "code_b")
-    compared = materialize(pairs.mapInPandas(_compare, "left_id long, right_id long, origin string, c_label int, c_cwe int, c_statements int, c_names int, c_function int, c_size int, c_guards int, closeness double"), "compared")
+    compared = materialize(pairs.mapInPandas(_compare, "left_id long, right_id long, origin string, c_label int, c_cwe int, c_statements int, c_names int, c_function int, c_size int, c_guards int, closeness double, twin long"), "compared")
     same = _posteriors(compared, SAME, lambda r: 0.9 if r["c_statements"] >= 2 and r["c_names"] >= 2 else 0.1, "p_same")
     # Both tables of posteriors have at most 150 rows.
     known = compared.join(F.broadcast(same), SAME)
