@@ -42,7 +42,7 @@ def plan_sources(supply: dict[str, int], targets: dict[str, tuple[float, int]],
     return out
 
 
-def mix(df: DataFrame, record: str, source: str, text: str, targets: DataFrame, total: float | None = None, seed: int = 7, path: str = TOKENIZER) -> tuple[DataFrame, DataFrame]:
+def mix(df: DataFrame, record: str, source: str, text: str, targets: DataFrame, total: float | None = None, seed: int = 7, path: str = TOKENIZER, fill: float | None = None) -> tuple[DataFrame, DataFrame]:
     """(chosen, shares). chosen: (record, source, n_tokens, repeats), one row per record in use. shares: (source,
     target_share, max_repeats, supply_tokens, budget_tokens, tokens, actual_share, note), one row per target.
 
@@ -51,7 +51,9 @@ def mix(df: DataFrame, record: str, source: str, text: str, targets: DataFrame,
     null repeats as 1. Null and empty texts have no tokens and are never chosen. Repeated rows are records of their
     own. A source never exceeds its budget; where the record at the cut leaves a gap above SLACK of the budget, later
     records that fit in it follow in further passes. Empty tables give empty results. Other columns are ignored. The
-    targets are collected: at most MAX_SOURCES rows.
+    targets are collected: at most MAX_SOURCES rows. With ``fill`` the total is that many times the tokens of all
+    sources that may be used, whatever the table's size: a source that cannot serve its share is used up to its repeats
+    and noted as capped.
     """
     spark = df.sparkSession
     want = targets.select(source_key(F.col("source")).alias("s"), F.coalesce(F.col("target_share").cast("double"), F.lit(0.0)).alias("share"), F.coalesce(F.col("max_repeats").cast("int"), F.lit(1)).alias("r"))
@@ -63,6 +65,8 @@ def mix(df: DataFrame, record: str, source: str, text: str, targets: DataFrame,
     names = spark.createDataFrame([(s,) for s in goals], "src string")
     tokens = counted(rows.join(F.broadcast(names), "src", "left_semi").select("rec", "src", "txt"), ["rec", "src"], "txt", path).where("n_tokens > 0")
     supply = {r["k1"]: r["t"] for r in tokens.groupBy("k1").agg(F.sum("n_tokens").alias("t")).collect()}
+    if fill is not None:
+        total = fill * sum(t for s, t in supply.items() if min(goals[s]) > 0)
     plan = plan_sources(supply, goals, total)
     full = spark.createDataFrame([(p[0], p[4]) for p in plan], "src string, full long")
     rest = tokens.select("item", F.col("k0").alias("rec"), F.col("k1").alias("src"), "n_tokens", F.xxhash64(F.col("k0").cast("string"), F.lit(seed)).alias("h"))

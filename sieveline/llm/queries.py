@@ -74,21 +74,22 @@ def p6_fill(spark: SparkSession, d: str) -> DataFrame:
     return packing.fill_report(p6_containers(spark, d), _table(spark, d, "pack_capacities"))
 
 
-def _mix(spark: SparkSession, d: str, total: float | None = None) -> tuple[DataFrame, DataFrame]:
-    return mixing.mix(_table(spark, d, "documents", "doc_id", "source", "text"), "doc_id", "source", "text", _table(spark, d, "mix_targets"), total)
+def _mix(spark: SparkSession, d: str, fill: float) -> tuple[DataFrame, DataFrame]:
+    return mixing.mix(_table(spark, d, "documents", "doc_id", "source", "text"), "doc_id", "source", "text", _table(spark, d, "mix_targets"), fill=fill)
 
 
 def p7_mix(spark: SparkSession, d: str) -> DataFrame:
-    return _mix(spark, d)[0]
+    """As many tokens as the target sources have; small sources repeat as often as they may."""
+    return _mix(spark, d, 1.0)[0]
 
 
 def p7_shares(spark: SparkSession, d: str) -> DataFrame:
-    return _mix(spark, d)[1]
+    return _mix(spark, d, 1.0)[1]
 
 
 def p7_shares_capped(spark: SparkSession, d: str) -> DataFrame:
-    """A total that not every source can serve: small ones stop at their repeats."""
-    return _mix(spark, d, 1_000_000.0)[1]
+    """Three times the tokens there are, which most sources cannot serve: they stop at their repeats."""
+    return _mix(spark, d, 3.0)[1]
 
 
 def _scored(spark: SparkSession, d: str) -> DataFrame:
