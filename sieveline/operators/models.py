@@ -63,16 +63,6 @@ def classified(model: PipelineModel, df: DataFrame, keep: list[str]) -> DataFram
     return out.select(*keep, F.array_position(p, F.array_max(p)).cast("int").alias("_at"), F.array_max(p).alias("confidence")).withColumn("prediction", F.col("_at") - 1).drop("_at")
 
 
-def out_of_fold(df: DataFrame, record: str, text: str, label: str, folds: int = 3, **params) -> DataFrame:
-    """(record, label, prediction, confidence) by models fitted on the other folds; folds come from a hash of the record."""
-    rows = df.where(F.col(text).isNotNull() & F.col(label).isNotNull()).withColumn("_fold", F.pmod(F.xxhash64(record), F.lit(folds)))
-    out = None
-    for k in range(folds):
-        part = classified(text_classifier(rows.where(F.col("_fold") != k), text, label, **params), rows.where(F.col("_fold") == k), [record, label])
-        out = part if out is None else out.unionByName(part)
-    return out
-
-
 def held_out_group(df: DataFrame, text: str, label: str, group: str, value: str, **params) -> DataFrame:
     """Rates on the rows of one group by a model that never saw it."""
     rows = df.where(F.col(label).isNotNull())

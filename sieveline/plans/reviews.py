@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import detectors, metrics, models, spans, tags, triage
+from ..operators import detectors, metrics, models, selection, spans, tags, triage
 from .catalog import COUNTS, FLAG, H, J, G, P, S, UNSAFE, V, flagged, gold, judged, latest, pair, query, rate_sql, rates_sql, samples, scanner, table
 from .pipeline import Pipeline, routed
 from .scale import prefix_sums
@@ -312,6 +312,6 @@ def G11_held_out_project(spark, d):
 
 @query()
 def G12_G13_code_folds(spark, d):
-    """Rates of predictions for each fold of fragments by a model of the others."""
+    """Candidates by their predictions for each of five stratified folds by a model of the others, with their thresholds."""
     rows = gold(spark, d, "code").where("y IS NOT NULL")
-    return metrics.binary(models.out_of_fold(rows, "unique_id", "code", "y", folds=3, code=True, rounds=10), "y", "prediction")
+    return selection.selected(rows, "unique_id", "code", "y")
