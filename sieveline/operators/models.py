@@ -1,15 +1,14 @@
-"""Text classifiers on Spark ML: word and character n-grams, logistic regression, boosted trees, folds."""
+"""Text classifiers on Spark ML: word and character n-grams, logistic regression."""
 
 from __future__ import annotations
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, OneVsRest
-from pyspark.ml.feature import IDF, PCA, HashingTF, NGram, Normalizer, RegexTokenizer, StandardScaler, VectorAssembler
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.feature import IDF, HashingTF, NGram, Normalizer, RegexTokenizer, VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import text_features
 from .metrics import binary
 
 
@@ -43,19 +42,6 @@ def text_classifier(df: DataFrame, text: str, label: str, c: float = 3.0, rounds
     return Pipeline(stages=[*featurizer(text, code), lr]).fit(rows)
 
 
-def boosted_classifier(df: DataFrame, text: str, label: str, k: int = 20, rounds: int = 10) -> PipelineModel:
-    """Hand-made features and k components of the hashed words into boosted trees, one against the rest."""
-    rows = with_features(df.where(F.col(text).isNotNull() & F.col(label).isNotNull()).withColumn(label, F.col(label).cast("double")), text)
-    stages = [RegexTokenizer(inputCol=text, outputCol="_words", pattern=r"(?U)\w\w+", gaps=False), HashingTF(inputCol="_words", outputCol="_tf", numFeatures=256),
-              PCA(k=k, inputCol="_tf", outputCol="_pca"), StandardScaler(inputCol="hand", outputCol="_hand"), VectorAssembler(inputCols=["_pca", "_hand"], outputCol="features"),
-              OneVsRest(classifier=GBTClassifier(maxIter=rounds, maxDepth=4), labelCol=label)]
-    return Pipeline(stages=stages).fit(rows)
-
-
-def with_features(df: DataFrame, text: str) -> DataFrame:
-    return df.withColumn("hand", array_to_vector(F.array(*[c.cast("double") for c in text_features(F.col(text)).values()])))
-
-
 def classified(model: PipelineModel, df: DataFrame, keep: list[str]) -> DataFrame:
     """(keep..., prediction, confidence): the first class of the highest probability."""
     out = model.transform(df)

@@ -299,8 +299,8 @@ def R05_R06_R09_leaks(spark, d):
 @query()
 def G06_boosted(spark, d):
     g = table(spark, d, "guard", "text", "label", "split").withColumn("label", F.col("label").cast("int"))
-    model = models.boosted_classifier(g.where("split = 'train'"), "text", "label", k=8, rounds=4)
-    got = model.transform(models.with_features(g.where("split = 'test' AND label IS NOT NULL"), "text"))
+    predict = selection.boosted(g.where("split = 'train'"), "text", "label")
+    got = predict(g.where("split = 'test' AND label IS NOT NULL"), ["label"])
     return metrics.per_class(got.select(F.col("label").cast("double").alias("y"), F.col("prediction").alias("p")), "y", "p")
 
 
