@@ -14,12 +14,13 @@ DATA = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
 
 
-@pytest.fixture(scope="module")
+@pytest.fixture
 def sql():
     con = duckdb.connect()
     for f in glob.glob(f"{DATA}/*.parquet"):
         con.execute(f"CREATE VIEW {os.path.basename(f)[:-8]} AS SELECT * FROM '{f}'")
-    return con
+    yield con
+    con.close()
 
 
 def cells(names, rows):
