@@ -3,52 +3,57 @@
 Boosted trees over dense features of a document's sentences - lexicon densities, second-person proximity, capitals,
 punctuation and obfuscation rates, learned word odds - with isotonic calibration. Raters mark whole documents, so the
 trees learn from the sentence that speaks most for a mark; a document's score is that of its worst sentence.
+
+Every sentence of every text reaches the trees, code blocks included: lexicons only give features, no gate. Words of a
+batch become rows of an array, sentences become segments of it, and all features are segment sums, maxima and distances.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.scale import bounded_sample, frames
-from .trees import Boosted, Isotonic
+from .trees import Boosted, Isotonic, by_tasks, serially
 
 KINDS = ["abuse", "hate", "sexual"]
 SAMPLE_DOCUMENTS = 6_000
-FOLDS = 3
-
-#: Lexicons in English, German, French and Spanish, in lower case and without accents.
-LEXICONS = {k: frozenset(v.split()) for k, v in {
-    "insult": """idiot idiots moron morons imbecile fool clown loser losers scumbag bastard bitch asshole jerk dumbass stupid dumb worthless useless pathetic
-        brainless talentless miserable ugly ugliest disgusting leech parasite parrot trash garbage failure cretin halfwit dimwit dunce incompetent spineless
-        trottel vollidiot mistkerl versager arschloch depp dummkopf penner wichser elender erbarmlich nutzlos mist abruti minable connard debile salaud ordure
-        incapable pauvre imbecil cretino idiota payaso inutil estupido patan gilipollas tonto""",
-    "threat": """choke runs somebody someone perdre crever come find posting where dormez dors kill hurt break breaks smash smashes fingers bones hands regret pay burn jump disappear vanish rot crawl hunt dead sleep watch 
-        wohnst bereuen gnade verschwinde umbringen toten habites payer disparais tuer duermes lamentar desaparece largate matar""",
-    "silence": """shut mouth quiet screw halt fresse maul klappe ferme gueule tais cierra boca callate""",
-    "contempt": """miss missed laugh favour fun disappear laughing us everyone knows apologise raised laugh laughs excuse typical nobody parents mother teachers shame vermissen lacht regretterait pleurerait
-        echaria menos moque""",
-    "slur": """einsperren encerrarlos chasse hierher raus sobran barrio country belong subhuman quarter animals human bury vermin scum thieves breeds breed filth plague parasites animals boots wipe buried clean rights deserve throw ungeziefer abschaum gesindel gehoren
-        sauber vermine racaille enferme propre meritent voleurs echarlos escoria limpio merecen ladrones god smell""",
-    "people": """zennari oskelians brenics tarvani ulvathites mourish immigrants foreigners refugees migrants jews muslims christians gypsies auslander juden muslime
-        etrangers juifs musulmans extranjeros judios musulmanes inmigrantes""",
-    "sexual": """horny singles wives leaked hot hands ride riding naked nude nudes sex porn porno pornos undressed undress moaned moan skirt kissed kissing touched touching lips mouth breasts body skin wearing shower lap thighs bed sofa ride
-        adults clips camera nackt nacktbilder kleider bett heisse nue nues corps adultes portes desnuda desnudo cuerpo puesto fotos photos adultos videos strangers""",
-    "you": """you your yours yourself du dich dein deine deinen euch toi ton tes vous votre tu tus eres usted tuyas tuya""",
-    "me": """i me my we us ich mich mir wir je moi mon nous yo mi""",
-    "meta": """filter filters blocklist words word entries test testing fixture training trained retrained samples moderators removed warned report logger
-        manual handbook translation locale locales office meetup form field fields date birth optional pointer eye terminal wrapper design console child process
-        scanner slaves benchmark scene shader cookie pest traps nurses exam tissue sperrliste enthalt worter schulung
-        handbuch erscheint kindprozess formular liste noire contient mots filtre propos revu bureau publie processus fils formulaire lista negra contiene palabras
-        formulario pide opcionales oficina publica proceso""",
-}.items()}
+FOLDS, TURNS = 3, 4
+#: Marks of a kind below which no trees are fitted and the lexicons' own score stands.
+LEAST_MARKS = 20
+BATCH_CHARACTERS = 1_000_000
+
+#: General words in English, German, French and Spanish, in lower case and without accents; a parameter of ``trained``.
+LEXICONS: dict[str, str] = {
+    "insult": """idiot idiots moron morons imbecile fool fools stupid dumb dumbass asshole bastard bitch jerk loser losers scumbag worthless useless pathetic brainless
+        trash garbage disgusting ugly clown coward incompetent dimwit halfwit cretin dunce idiota imbecil estupido estupida tonto tonta inutil gilipollas cabron payaso
+        cobarde basura trottel vollidiot depp dummkopf arschloch versager wichser penner nutzlos dumm feigling abschaum connard connasse salaud abruti debile cretino
+        minable nul ordure lache incapable""",
+    "threat": """kill killed hurt beat punch break smash strangle choke burn shoot stab die dead regret suffer hunt bleed destroy umbringen toten schlagen bereuen sterben
+        brechen wehtun tuer frapper crever mourir regretter casser matar morir golpear romper lamentar sufrir""",
+    "silence": "shut mouth halt maul klappe fresse ferme gueule tais callate cierra boca",
+    "degrade": """vermin scum filth subhuman plague parasite parasites cockroaches rats animals savages disease breed breeds deport exterminate expel inferior dirty thieves
+        criminals ungeziefer abschaum gesindel untermenschen parasiten pack ratten tiere raus dreckig vermine racaille parasites sous nuisibles chasser dehors sales voleurs
+        escoria alimanas parasitos ratas animales expulsar fuera sucios ladrones""",
+    "group": """people peoples race races tribe religion nation country kind immigrants foreigners refugees migrants jews muslims christians arabs blacks whites gypsies women men
+        auslander juden muslime christen fluchtlinge volk land etrangers juifs musulmans arabes immigres peuple pays extranjeros judios musulmanes inmigrantes gitanos pueblo pais""",
+    "sexual": """sex sexy sexual porn porno nude nudes naked horny erotic orgasm breasts tits boobs ass penis vagina fuck fucking blowjob undress undressed strip moan moaned
+        kiss kissed kissing bed lust thighs lips skirt nackt nacktbilder geil titten brust brusten ausziehen kussen bett sexe nue nu nues seins baiser embrasser lit
+        deshabiller desnuda desnudo tetas culo besar cama follar pechos""",
+    "you": "you your yours yourself u ur du dich dir dein deine deinen deiner euch ihr toi tu te ton ta tes vous votre vos ti tus eres usted ustedes contigo vosotros",
+    "me": "i me my we us our ich mich mir mein wir uns je moi mon ma nous yo mi nosotros",
+    "they": "they them their theirs these those sie ihnen ihre denen diese ils elles eux leur leurs ces ellos ellas sus les estos esos",
+    "mention": """word words term terms phrase list lists listed blocklist dictionary lexicon entry entries filter filters filtered test tests tested testing sample samples example
+        examples quoted quote label labels report reported reports flagged keyword wort worter begriff liste sperrliste eintrag eintrage beispiel gemeldet mot mots terme
+        entree entrees filtre exemple signale palabra palabras termino lista entrada entradas filtro prueba ejemplo""",
+}
 #: Letters of other scripts, digits and signs that stand for Latin letters.
 LOOKALIKES = str.maketrans("аеорсухіјѕԁһкмтвнгαεορτυικνωβ", "aeopcyxijsdhkmtbhraeoptuiknwb")
 LEET = str.maketrans("013457@$!", "oieastasi")
@@ -56,229 +61,388 @@ INVISIBLE = re.compile("[­​-‏‪-‮⁠-⁤﻿]")
 SPACED = re.compile(r"(?<!\w)(?:[^\W\d_][ ]){3,}[^\W\d_](?!\w)")
 SENTENCE = re.compile(r"(?<=[.!?])[\s\"')\]]+|[\r\n]+")
 TOKEN = re.compile(r"[^\s,;:\"()\[\]{}<>…]+")
-FENCE = re.compile(r"```.*?(?:```|\Z)", re.S)
-ALL_WORDS = frozenset().union(*LEXICONS.values())
-_BY_LENGTH: dict[int, list[str]] = {}
-for _w in sorted(LEXICONS["insult"] | LEXICONS["slur"] | LEXICONS["sexual"] | LEXICONS["threat"] | LEXICONS["people"]):
-    _BY_LENGTH.setdefault(len(_w), []).append(_w)
+REPEATED = re.compile(r"(.)\1\1")
+EDGES = ".!?'’`*_-~|/\\#&+=%"
 
 
 def _plain(token: str) -> str:
+    if token.isascii():
+        return token.lower()
     t = unicodedata.normalize("NFKD", INVISIBLE.sub("", token)).lower().translate(LOOKALIKES)
     return "".join(c for c in t if not unicodedata.combining(c))
 
 
-_KNOWN: dict[str, tuple[str, bool]] = {}
+class Vocabulary:
+    """What a token stands for: its word without case, accents and disguise, among the lexicons' and the learned words.
 
+    Tokens get rows of an array, each distinct token once; the array is emptied when it holds too many.
+    """
 
-def word_of(token: str) -> tuple[str, bool]:
-    """The word a token stands for, without case, accents and disguise, and whether it was disguised."""
-    got = _KNOWN.get(token)
-    if got is None:
-        if len(_KNOWN) > 300_000:
-            _KNOWN.clear()
-        got = _KNOWN[token] = _word_of(token)
-    return got
+    MOST = 300_000
+
+    def __init__(self, lexicons: dict[str, str] | None = None, learned: frozenset[str] = frozenset()):
+        self.lexicons = {k: frozenset(v.split()) for k, v in (lexicons or LEXICONS).items()}
+        self.known = frozenset().union(learned, *self.lexicons.values())
+        self.by_length: dict[int, list[str]] = {}
+        for w in sorted(frozenset().union(*self.lexicons.values())):
+            self.by_length.setdefault(len(w), []).append(w)
+        self.clear()
+
+    def clear(self) -> None:
+        vocabulary = self
+
+        class Rows(dict):
+            def __missing__(self, token: str) -> int:
+                self[token] = at = len(self)
+                vocabulary._add(token)
+                return at
+
+        self.rows, self.facts, self.hashes = Rows(), [], []
+        self._array: tuple[np.ndarray, np.ndarray] = (np.zeros((0, len(self.lexicons) + 6), np.float32), np.zeros(0, np.int64))
+
+    def __getstate__(self) -> dict:
+        return {"lexicons": self.lexicons, "known": self.known, "by_length": self.by_length}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        self.clear()
+
+    def word_of(self, token: str) -> tuple[str, bool]:
+        """The word a token stands for, and whether it was disguised."""
+        plain = _plain(token)
+        bare = plain.strip(EDGES)
+        if bare in self.known:
+            same = "".join(c for c in unicodedata.normalize("NFKD", token).lower() if not unicodedata.combining(c)).strip(EDGES)
+            return bare, same != bare or (token.isalpha() and not (token.islower() or token.isupper() or token[1:].islower()))
+        if len(bare) < 3 or not any(map(str.isalpha, bare)) or (bare.isascii() and bare.isalpha() and not REPEATED.search(bare)):
+            return bare, False
+        inner = re.sub(r"[._\-*|/’'+~]", "", bare)
+        for form in (inner, bare.translate(LEET), inner.translate(LEET), plain.strip(".?'*").translate(LEET)):
+            if form in self.known and len(form) > 2:
+                return form, True
+            if not REPEATED.search(form):
+                continue
+            short = re.sub(r"(.)\1{2,}", r"\1", form)
+            if short in self.known and len(short) > 2:
+                return short, True
+            short = re.sub(r"(.)\1+", r"\1", form)
+            if len(form) - len(short) > 2 and short in self.known and len(short) > 3:
+                return short, True
+        if "*" in bare and sum(c.isalpha() for c in bare) >= 2:
+            exact = re.compile(re.sub(r"\\\*", "[a-z]", re.escape(bare)) + r"\Z")
+            loose = re.compile(re.sub(r"(\\\*)+", "[a-z]{1,4}", re.escape(bare)) + r"\Z")
+            for form, lengths in ((exact, [len(bare)]), (loose, range(len(bare), len(bare) + 4))):
+                for w in (w for n in lengths for w in self.by_length.get(n, [])):
+                    if form.match(w):
+                        return w, True
+        return bare, False
 
+    def _add(self, token: str) -> None:
+        word, odd = self.word_of(token)
+        letters = sum(map(str.isalpha, token))
+        self.facts.append([*(float(word in lex) for lex in self.lexicons.values()), float(odd), float(letters), float(sum(map(str.isupper, token))), float(sum(map(str.isdigit, token))),
+                           float(token[:1].isupper() and token[1:].islower()), float("_" in token or "=" in token or "/" in token or any(a.islower() and b.isupper() for a, b in zip(token, token[1:])))])
+        self.hashes.append(xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass")) - (1 << 63) if word else 0)
+
+    def arrays(self) -> tuple[np.ndarray, np.ndarray]:
+        """Facts and word hashes of all rows so far."""
+        done = len(self._array[1])
+        if done < len(self.hashes):
+            self._array = (np.concatenate([self._array[0], np.array(self.facts[done:], np.float32)]), np.concatenate([self._array[1], np.array(self.hashes[done:], np.int64)]))
+        return self._array
+
+
+def sentences(text: str) -> list[tuple[list[str], str]]:
+    """All sentences and lines of the whole text: their tokens and themselves."""
+    text = SPACED.sub(lambda m: m[0].replace(" ", ""), text)
+    return [(t, s) for s in SENTENCE.split(text) if s and (t := TOKEN.findall(s))]
+
+
+class Batch:
+    """Sentences of some documents as segments of one array of words."""
+
+    def __init__(self, texts: list[str | None], vocabulary: Vocabulary):
+        if len(vocabulary.rows) > vocabulary.MOST:
+            vocabulary.clear()
+        rows, ids, lengths, owner, marks = vocabulary.rows, [], [], [], []
+        for i, text in enumerate(texts):
+            for tokens, s in sentences(text) if isinstance(text, str) else []:
+                ids += [rows[t] for t in tokens]
+                lengths.append(len(tokens))
+                owner.append(i)
+                marks.append((s.count("!") + s.count("?"), s.count(","), s.count('"') + s.count("'"), s.count("(")))
+        facts, hashes = vocabulary.arrays()
+        ids = np.array(ids, np.int64)
+        self.n_docs, self.owner, self.lengths = len(texts), np.array(owner, np.int64), np.array(lengths, np.int64)
+        self.starts = np.concatenate([[0], np.cumsum(self.lengths)[:-1]]).astype(np.int64) if lengths else np.zeros(0, np.int64)
+        self.sentence = np.repeat(np.arange(len(lengths)), self.lengths)
+        self.ids, self.facts, self.hashes = ids, facts[ids], hashes[ids]
+        # Pairs of neighbours within a sentence; 0 stands for none.
+        inside = self.sentence[1:] == self.sentence[:-1] if len(ids) else np.zeros(0, bool)
+        two = (self.hashes[:-1] * np.int64(-7046029254386353131)) ^ (self.hashes[1:] * np.int64(-4417276706812531889) + 1)
+        self.pairs, self.pair_sentence = two[inside], self.sentence[:-1][inside]
+        self.x = self._dense(np.array(marks, np.float32).reshape(-1, 4), list(vocabulary.lexicons))
+
+    def sums(self, values: np.ndarray) -> np.ndarray:
+        return np.add.reduceat(values, self.starts, axis=0) if len(self.starts) else np.zeros((0, *values.shape[1:]), np.float32)
+
+    def _near(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Per sentence, the distance from any word of ``a`` to the nearest one of ``b``; 40 without such a pair."""
+        at = np.arange(len(a), dtype=np.int64)
+        before = np.maximum.accumulate(np.where(b, at, -1))
+        after = np.minimum.accumulate(np.where(b, at, len(a) + 99)[::-1])[::-1]
+        first, last = self.starts[self.sentence], (self.starts + self.lengths)[self.sentence]
+        gap = np.minimum(np.where(before >= first, at - before, 40), np.where(after < last, after - at, 40))
+        return np.minimum(np.minimum.reduceat(np.where(a, gap, 40), self.starts), 40).astype(np.float32)
+
+    def _dense(self, marks: np.ndarray, names: list[str]) -> np.ndarray:
+        if not len(self.starts):
+            return np.zeros((0, len(names) + 27), np.float32)
+        n, f = self.lengths[:, None].astype(np.float32), self.facts
+        sums, has = self.sums(f), {k: f[:, j] > 0 for j, k in enumerate(names)}
+        lex, rest = sums[:, : len(names)], sums[:, len(names) :]
+        dense = lex[:, [names.index(k) for k in ("insult", "threat", "degrade", "sexual", "mention")]] / n
+        near = [self._near(has[a], has[b]) for a, b in (("insult", "you"), ("threat", "you"), ("sexual", "you"), ("degrade", "group"), ("degrade", "they"), ("me", "you"), ("insult", "mention"))]
+        odd, letters, upper, digits, title, ident = rest.T
+        first_title = f[self.starts, len(names) + 4]
+        chars = np.maximum(letters, 1)
+        extra = [odd, odd / n[:, 0], upper / chars, digits / (chars + digits), title - first_title, ident / n[:, 0], n[:, 0], marks[:, 0] / n[:, 0], marks[:, 1], marks[:, 2], marks[:, 3]]
+        prior = [self.prior(k, dict(zip(names, lex.T))) for k in range(len(KINDS))]
+        return np.column_stack([lex, dense, *near, *extra, np.minimum(lex[:, names.index("you")] + lex[:, names.index("they")], 1), *prior]).astype(np.float32)
 
-def _word_of(token: str) -> tuple[str, bool]:
-    plain = _plain(token)
-    bare = plain.strip(".!?'’`*_-~|/\\#&+=%")
-    if bare in ALL_WORDS:
-        same = "".join(c for c in unicodedata.normalize("NFKD", token).lower() if not unicodedata.combining(c)).strip(".!?'’`*_-~|/\\#&+=%")
-        odd = same != bare or (token.isalpha() and not (token.islower() or token.isupper() or token[1:].islower()))
-        return bare, odd
-    inner = re.sub(r"[._\-*|/’'+~]", "", bare)
-    if not any(c.isalpha() for c in bare) or len(bare) < 3:
-        return bare, False
-    for form in (inner, bare.translate(LEET), inner.translate(LEET), plain.strip(".?'*").translate(LEET)):
-        if form in ALL_WORDS and len(form) > 2:
-            return form, True
-        short = re.sub(r"(.)\1{2,}", r"\1", form)
-        if short in ALL_WORDS and len(short) > 2:
-            return short, True
-        short = re.sub(r"(.)\1+", r"\1", form)
-        if len(form) - len(short) > 2 and short in ALL_WORDS and len(short) > 3:
-            return short, True
-    if "*" in bare and len(bare) > 2 and sum(c.isalpha() for c in bare) >= 2:
-        pattern = re.compile(re.sub(r"\\\*", "[a-z]", re.escape(bare)) + r"\Z")
-        loose = re.compile(re.sub(r"(\\\*)+", "[a-z]{1,4}", re.escape(bare)) + r"\Z")
-        for w in _BY_LENGTH.get(len(bare), []):
-            if pattern.match(w):
-                return w, True
-        for n in range(len(bare), len(bare) + 4):
-            for w in _BY_LENGTH.get(n, []):
-                if loose.match(w):
-                    return w, True
-    return bare, False
-
-
-def sentences(text: str) -> list[str]:
-    """Sentences and lines of the whole text, without code blocks."""
-    text = SPACED.sub(lambda m: m[0].replace(" ", ""), FENCE.sub("\n", text))
-    return [s for s in SENTENCE.split(text) if s and len(s) > 3]
-
-
-#: A sentence without any word of these speaks for nothing.
-TELLING = frozenset().union(*(LEXICONS[k] for k in ("insult", "threat", "silence", "contempt", "slur", "people", "sexual", "you")))
-
-
-class Sentence:
-    """One sentence's words and dense features."""
-
-    __slots__ = ("words", "x")
-
-    def __init__(self, text: str, got: list[tuple[str, bool]]):
-        self.words = [w for w, _ in got if w]
-        n = max(1, len(got))
-        at = {k: [i for i, (w, _) in enumerate(got) if w in lex] for k, lex in LEXICONS.items()}
-        odd = sum(o for _, o in got)
-
-        def near(a: str, b: str) -> float:
-            return float(min((abs(i - j) for i in at[a] for j in at[b]), default=40))
-
-        letters = [c for c in text if c.isalpha()]
-        self.x = [float(len(at[k])) for k in LEXICONS] + [len(at[k]) / n for k in ("insult", "threat", "slur", "sexual", "meta")]
-        self.x += [near("insult", "you"), near("threat", "you"), near("contempt", "you"), near("sexual", "you"), near("slur", "people"), near("me", "you"), near("insult", "meta")]
-        self.x += [odd, odd / n, sum(c.isupper() for c in letters) / max(1, len(letters)), sum(c in "!?" for c in text) / n, text.count(","), float(n), sum("_" in t or "()" in t for t in text.split()) / n,
-                   sum(c.isdigit() for c in text) / max(1, len(text))]
-
-    def rule(self, kind: int) -> float:
-        """What the lexicons alone say; the start of learning, and all there is without enough labels."""
-        c = dict(zip(LEXICONS, self.x))
-        meta = 1.5 * c["meta"]
-        you = min(1.0, c["you"])
-        if kind == 0:
-            return 1.2 * min(2, c["insult"]) * (0.4 + you) + 0.9 * min(3, c["threat"]) * you + 1.5 * min(2, c["silence"]) + 0.9 * min(2, c["contempt"]) * (0.3 + you) - meta - 1.0
-        if kind == 1:
-            return (1.2 * min(2, c["people"]) * (0.3 + min(2, c["slur"])) + 0.4 * c["slur"]) - meta - 1.0
-        return 1.2 * min(3, c["sexual"]) * (0.5 + 0.7 * you) - meta - 1.0
-
-
-def doc_sentences(text: str) -> list[Sentence]:
-    """The sentences with any telling word."""
-    out = []
-    for s in sentences(text):
-        got = [word_of(t) for t in TOKEN.findall(s)]
-        if any(w in TELLING for w, _ in got):
-            out.append(Sentence(s, got))
-    return out
+    @staticmethod
+    def prior(kind: int, c: dict[str, np.ndarray]) -> np.ndarray:
+        """What the lexicons alone say: words of the kind, more beside the person or group they are aimed at, less beside words of mention."""
+        you, they = np.minimum(c["you"], 1), np.minimum(c["they"] + c["group"], 1)
+        own = [np.minimum(c["insult"], 2) * (0.4 + you) + np.minimum(c["threat"], 2) * you * 0.7 + np.minimum(c["silence"], 2) * 0.7,
+               np.minimum(c["degrade"], 2) * (0.3 + they), np.minimum(c["sexual"], 3) * (0.4 + 0.6 * you)][kind]
+        return 1.3 * own - 1.5 * c["mention"] - 1.0
+
+    def worst(self, values: np.ndarray) -> np.ndarray:
+        """The highest value of each document's sentences, -9 for a document without any."""
+        out = np.full(self.n_docs, -9.0)
+        np.maximum.at(out, self.owner, values)
+        return out
 
 
-class Odds:
-    """Smoothed log odds of words and word pairs between marked and unmarked documents."""
+PRIOR = -len(KINDS)
 
-    def __init__(self, docs: list[list[Sentence]], y: np.ndarray):
-        n = [Counter(), Counter()]
-        for sents, v in zip(docs, y):
-            n[int(v)].update({g for s in sents for g in self.grams(s)})
-        a, b = max(1, int(y.sum())), max(1, int(len(y) - y.sum()))
-        self.value = {g: float(np.log((n[1][g] + 0.3) / (a + 0.6)) - np.log((n[0][g] + 0.3) / (b + 0.6))) for g in set(n[0]) | set(n[1]) if n[0][g] + n[1][g] > 1}
 
-    @staticmethod
-    def grams(s: Sentence) -> set[str]:
-        return set(s.words) | {f"{a} {b}" for a, b in zip(s.words, s.words[1:])}
+def _tops(b: Batch, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """Per sentence: the three highest odds of its words, the highest two of its pairs, the mean of all words."""
+    out = np.zeros((len(b.starts), 6), np.float32)
+    if not len(b.starts):
+        return out
+    out[:, 5] = b.sums(one) / b.lengths
+    for values, owner, columns in ((one, b.sentence, (0, 1, 2)), (two, b.pair_sentence, (3, 4))):
+        high = np.flatnonzero(values > 0)
+        order = high[np.lexsort((-values[high], owner[high]))]
+        own = owner[order]
+        begins = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]])) if len(own) else np.zeros(0, np.int64)
+        rank = np.arange(len(own)) - np.repeat(begins, np.diff(np.concatenate([begins, [len(own)]])))
+        for r, column in enumerate(columns):
+            out[own[rank == r], column] = values[order[rank == r]]
+    return out
 
-    def features(self, s: Sentence) -> list[float]:
-        got = sorted((self.value.get(g, 0.0) for g in self.grams(s)), reverse=True) + [0.0] * 3
-        return [got[0], sum(got[:3]) / 3, sum(got) / max(1, len(got)), got[-4] if len(got) > 3 else 0.0]
+
+class Odds:
+    """Log odds of words and word pairs by hash, one column for each kind and level."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        keep = (np.abs(values) > 0.2).any(axis=1)
+        self.keys, self.values = keys[keep], np.vstack([values[keep], np.zeros((1, values.shape[1]))]).astype(np.float32)
+        self.rows: tuple[Vocabulary.Rows | None, np.ndarray] = (None, self.values[:0])
+
+    def of(self, hashes: np.ndarray) -> np.ndarray:
+        if not len(self.keys):
+            return np.zeros((len(hashes), self.values.shape[1]), np.float32)
+        at = np.minimum(np.searchsorted(self.keys, hashes), len(self.keys) - 1)
+        return self.values[np.where(self.keys[at] == hashes, at, len(self.keys))]
+
+    def words(self, vocabulary: Vocabulary, ids: np.ndarray) -> np.ndarray:
+        """Of words given as rows of the vocabulary; each row is looked up once."""
+        hashes = vocabulary.arrays()[1]
+        if self.rows[0] is not vocabulary.rows:
+            self.rows = (vocabulary.rows, self.values[:0])
+        if len(self.rows[1]) < len(hashes):
+            self.rows = (vocabulary.rows, np.vstack([self.rows[1], self.of(hashes[len(self.rows[1]) :])]))
+        return self.rows[1][ids]
+
+    def __getstate__(self) -> dict:
+        return {"keys": self.keys, "values": self.values, "rows": (None, self.values[:0])}
+
+
+class Grams:
+    """Which words and pairs each sentence and each document holds, without repeats, for counting under any weights."""
+
+    def __init__(self, b: Batch):
+        sentence = np.concatenate([b.sentence, b.pair_sentence])
+        self.keys, code = np.unique(np.concatenate([b.hashes, b.pairs]), return_inverse=True)
+        self.word, self.pair = code[: len(b.hashes)], code[len(b.hashes) :]
+        k = max(1, len(self.keys))
+        self.sentence, self.doc = (np.divmod(np.unique(unit * k + code), k) for unit in (sentence, b.owner[sentence]))
+
+    def odds(self, units: tuple[np.ndarray, np.ndarray], positive: np.ndarray, negative: np.ndarray) -> np.ndarray:
+        """Of each gram; the weights tell which units count. A word of one positive speaks for nothing."""
+        (unit, code), k = units, len(self.keys)
+        n1, n0 = np.bincount(code, positive[unit], k), np.bincount(code, negative[unit], k)
+        value = np.log((n1 + 0.3) / (positive.sum() + 0.6)) - np.log((n0 + 0.3) / (negative.sum() + 0.6))
+        value = np.where(n1 < 2, np.minimum(value, 0.0), value)
+        return np.where(np.abs(value) > 0.2, value, 0.0).astype(np.float32)
 
 
 class Model:
-    def __init__(self) -> None:
-        self.odds: list[Odds | None] = [None] * 3
+    def __init__(self, lexicons: dict[str, str] | None = None) -> None:
+        self.vocabulary = Vocabulary(lexicons)
+        self.odds: Odds | None = None
         self.trees: list[Boosted | None] = [None] * 3
         self.calibration: list[Isotonic | None] = [None] * 3
         self.threshold = [0.0] * 3
 
-    def margins(self, sents: list[Sentence], kind: int) -> np.ndarray:
-        rule = np.array([s.rule(kind) for s in sents])
-        if self.trees[kind] is None:
-            return rule
-        return self.trees[kind].margin(features(sents, kind, self.odds[kind]), rule)
+    def margins(self, b: Batch) -> list[np.ndarray]:
+        """Of every sentence, by kind."""
+        out = [b.x[:, PRIOR + k] for k in range(3)]
+        if self.odds is None or not len(b.starts):
+            return out
+        one, two = self.odds.words(self.vocabulary, b.ids), self.odds.of(b.pairs)
+        for k in range(3):
+            if self.trees[k] is not None:
+                out[k] = self.trees[k].margin(np.hstack([b.x, *[_tops(b, one[:, 2 * k + level], two[:, 2 * k + level]) for level in (0, 1)]]))
+        return out
 
-    def score(self, docs: list[list[Sentence]]) -> np.ndarray:
+    def score(self, texts: list[str | None]) -> np.ndarray:
         """(document, kind, margin and probability) of each document's worst sentence; a document without any has margin -9."""
-        out = np.full((len(docs), 3, 2), -9.0)
-        flat = [s for sents in docs for s in sents]
-        owner = np.repeat(np.arange(len(docs)), [len(s) for s in docs])
-        for k in range(3):
-            if flat:
-                np.maximum.at(out[:, k, 0], owner, self.margins(flat, k))
+        b = Batch(texts, self.vocabulary)
+        out = np.full((len(texts), 3, 2), -9.0)
+        for k, margins in enumerate(self.margins(b)):
+            out[:, k, 0] = b.worst(margins)
             cal = self.calibration[k]
             out[:, k, 1] = cal.predict(out[:, k, 0]) if cal is not None else 1 / (1 + np.exp(-out[:, k, 0]))
         return out
 
 
-def features(sents: list[Sentence], kind: int, odds: Odds) -> np.ndarray:
-    return np.array([[*s.x, s.rule(kind), *odds.features(s)] for s in sents], float)
+def _ranks(owner: np.ndarray, value: np.ndarray) -> np.ndarray:
+    """Each sentence's place within its document by falling value."""
+    order = np.lexsort((-value, owner))
+    begins = np.flatnonzero(np.concatenate([[True], owner[order][1:] != owner[order][:-1]]))
+    rank = np.empty(len(owner), np.int64)
+    rank[order] = np.arange(len(owner)) - np.repeat(begins, np.diff(np.concatenate([begins, [len(owner)]])))
+    return rank
 
 
-def _train(docs: list[list[Sentence]], y: np.ndarray, kind: int) -> tuple[Odds, Boosted] | None:
-    """Trees on sentences: from each marked document the one that speaks most for the mark, from the others all.
+def _train(b: Batch, grams: Grams, labels: np.ndarray, kinds: list[int], docs: np.ndarray) -> dict[int, tuple[tuple[np.ndarray, ...], Boosted]]:
+    """By kind, odds of all grams and trees on sentences of the documents ``docs`` selects: from each marked document the
+    sentence that speaks most for the mark and not for its other marks; from each of the others those that speak most for
+    it and one more by chance.
 
-    They start from the lexicon rule and correct it. Each document's word odds come from the others, so that the trees
-    meet them as they will be for new documents.
+    At first lexicons and the words of marked documents tell which sentences these are, then the trees. Odds are those of
+    documents and those of the sentences chosen so far; each fold's come from the other folds, so that the trees meet
+    them as they will be for new documents.
     """
-    sents = [s for d in docs for s in d]
-    if not sents or y.sum() < 8:
-        return None
-    owner = np.repeat(np.arange(len(docs)), [len(d) for d in docs])
-    x = np.zeros((len(sents), 0))
-    for f in range(FOLDS):
-        odds = Odds([d for i, d in enumerate(docs) if i % FOLDS != f], y[np.arange(len(docs)) % FOLDS != f])
-        at = owner % FOLDS == f
-        part = features([s for s, own in zip(sents, at) if own], kind, odds)
-        if part.size:
-            x = x if x.shape[1] else np.zeros((len(sents), part.shape[1]))
-            x[at] = part
-    rule = x[:, -5]
-    value, trees = rule + x[:, -3], None
-    for _ in range(3):
-        best = np.full(len(docs), -1e9)
-        np.maximum.at(best, owner, value)
-        top = value >= best[owner]
-        # A mark with nothing that speaks for it is most likely wrong, and a document without a mark that clearly has the content too.
-        pos = top & (y[owner] == 1) & (value > (0.5 if trees is None else -1.0))
-        neg = (y[owner] == 0) & (value < (4.0 if trees is None else 1.5))
-        use = pos | neg
-        if pos.sum() < 5:
-            return None
-        trees = Boosted(50, 3, 0.2, leaf=5.0, ridge=3.0).fit(x[use], pos[use].astype(float), start=rule[use])
-        value = trees.margin(x, rule)
-    return Odds(docs, y), trees
-
-
-def fit(texts: list[str], labels: np.ndarray) -> Model:
-    """A model from texts and marks (document, kind). With fewer than 20 marks of a kind its lexicon rule is used."""
-    model = Model()
-    docs = [doc_sentences(t) for t in texts]
-    folds = np.arange(len(docs)) % FOLDS
-    for k in range(3):
-        y = labels[:, k] if len(labels) else np.zeros(0)
-        if y.sum() < 20:
-            continue
-        margin = np.full(len(docs), -9.0)
-        for f in range(FOLDS):
-            part = Model()
-            got = _train([d for d, at in zip(docs, folds) if at != f], y[folds != f], k)
-            if got:
-                part.odds[k], part.trees[k] = got
-            margin[folds == f] = part.score([d for d, at in zip(docs, folds) if at == f])[:, k, 0]
-        got = _train(docs, y, k)
-        if not got:
-            continue
-        model.odds[k], model.trees[k] = got
+    own, fold = b.owner, np.arange(b.n_docs) % FOLDS
+    marked = {k: docs & (labels[:, k] == 1) for k in kinds}
+    plain = {k: docs & (labels[:, k] == 0) for k in kinds}
+    kinds = [k for k in kinds if marked[k].sum() >= 8 and plain[k].any()]
+    value: dict[int, np.ndarray] = {}
+    chosen: dict[int, np.ndarray] = {}
+    trees: dict[int, Boosted] = {}
+    given: dict[int, tuple[np.ndarray, ...]] = {}
+    of_texts: dict[tuple[int, int | None], np.ndarray] = {}
+
+    def odds(k: int, f: int | None) -> tuple[np.ndarray, ...]:
+        other = docs if f is None else docs & (fold != f)
+        if (k, f) not in of_texts:
+            of_texts[k, f] = grams.odds(grams.doc, (other & marked[k]).astype(float), (other & plain[k]).astype(float))
+        return of_texts[k, f], grams.odds(grams.sentence, (chosen[k] & other[own]).astype(float), (other & plain[k])[own].astype(float)) if k in chosen else of_texts[k, f]
+
+    at_word, at_pair = fold[own[b.sentence]], fold[own[b.pair_sentence]]
+
+    def features(k: int) -> np.ndarray:
+        tables = [np.stack(t) for t in zip(*[odds(k, f) for f in range(FOLDS)])]
+        return np.hstack([b.x, *[_tops(b, t[at_word, grams.word], t[at_pair, grams.pair]) for t in tables]])
+
+    for turn in range(TURNS):
+        x = {k: features(k) for k in kinds}
+        if not turn:
+            value = {k: b.x[:, PRIOR + k] + x[k][:, b.x.shape[1] : b.x.shape[1] + 3].mean(1) + x[k][:, b.x.shape[1] + 3] / 3 for k in kinds}
+        given = {k: odds(k, None) for k in kinds}
+        for k in list(kinds):
+            others = np.zeros(len(own))
+            for j in kinds:
+                if j != k:
+                    others = np.maximum(others, np.where(marked[j][own], value[j] - value[j].min(), 0))
+            rank = _ranks(own, value[k] - 0.6 * others)
+            top = (rank == 0) & marked[k][own]
+            # A mark with nothing that speaks for it is most likely wrong, and a document without a mark that clearly has the content too.
+            chosen[k] = top & (value[k] >= np.quantile(value[k][top], 0.1)) if top.any() else top
+            if chosen[k].sum() < 5:
+                kinds.remove(k)
+                continue
+            rank = _ranks(own, value[k])
+            also = np.any([marked[j][own] for j in kinds if j != k], axis=0) if len(kinds) > 1 else np.zeros(len(own), bool)
+            rest = plain[k][own] & ((value[k] < 4.0) | (turn == 0) | also) & ((rank < 2) | ((rank < 4) & also) | (rank == 2 + own % 7))
+            use = chosen[k] | rest
+            weight = np.where(chosen[k] | (rank < 2), 1.0, 2.0)[use]
+            trees[k] = Boosted(20 if turn < TURNS - 1 else 60, 3, 0.3 if turn < TURNS - 1 else 0.15, leaf=4.0, ridge=3.0).fit(x[k][use], chosen[k][use].astype(float), weight)
+        value = {k: trees[k].margin(x[k]) for k in kinds}
+    return {k: (given[k], trees[k]) for k in kinds}
+
+
+def _job(shared: tuple, f: int | None) -> dict:
+    """Models of all kinds: of all documents, or without a fold and then that fold's margins."""
+    b, grams, labels, kinds = shared
+    # Not the folds of the odds within a training.
+    fold = (np.arange(b.n_docs) // FOLDS) % FOLDS
+    got = _train(b, grams, labels, kinds, np.ones(b.n_docs, bool) if f is None else fold != f)
+    if f is None:
+        return got
+    out = {}
+    for k in kinds:
+        values = b.x[:, PRIOR + k]
+        if k in got:
+            odds, trees = got[k]
+            values = trees.margin(np.hstack([b.x, *[_tops(b, o[grams.word], o[grams.pair]) for o in odds]]))
+        out[k] = fold == f, b.worst(values)
+    return out
+
+
+def fit(texts: list[str], labels: np.ndarray, lexicons: dict[str, str] | None = None, spread=serially) -> Model:
+    """A model from texts and marks (document, kind). With fewer than LEAST_MARKS marks of a kind its lexicons' score is used."""
+    model = Model(lexicons)
+    if not len(texts):
+        return model
+    kinds = [k for k in range(3) if labels[:, k].sum() >= LEAST_MARKS and (labels[:, k] == 0).any()]
+    if not kinds:
+        return model
+    # Words of at least two of the texts are what disguises may stand for.
+    seen: dict[str, int] = {}
+    for t in texts:
+        for w in {_plain(m).strip(EDGES) for m in TOKEN.findall(t)}:
+            if len(w) > 3 and w.isalpha():
+                seen[w] = seen.get(w, 0) + 1
+    model.vocabulary = Vocabulary(lexicons, frozenset(w for w, n in seen.items() if n > 1))
+    b = Batch(texts, model.vocabulary)
+    grams = Grams(b)
+    *folds, whole = spread(_job, (b, grams, labels, kinds), [*range(FOLDS), None])
+    nothing = np.zeros(len(grams.keys), np.float32)
+    model.odds = Odds(grams.keys, np.column_stack([o for k in range(3) for o in (whole[k][0] if k in whole else (nothing, nothing))]))
+    for k in whole:
+        y, margin = labels[:, k], np.full(len(texts), -9.0)
+        for at, values in (part[k] for part in folds):
+            margin[at] = values[at]
+        model.trees[k] = whole[k][1]
         model.calibration[k] = Isotonic().fit(margin, y)
-        # Wrong marks pull the best cut far out, so it stays near even odds; with few marks it is even odds.
+        # Wrong marks pull the best cut far out, so it is even odds unless another one near them is clearly better.
         order = np.argsort(-margin, kind="stable")
         f1 = 2 * np.cumsum(y[order]) / (np.arange(1, len(y) + 1) + y.sum())
-        if y.sum() >= 100:
-            model.threshold[k] = float(np.clip(margin[order[int(f1.argmax())]], -0.7, 0.7)) - 1e-6
+        even = int((margin > 0).sum()) - 1
+        if y.sum() >= 50 and (even < 0 or f1[even] < f1.max() - 0.01):
+            model.threshold[k] = float(np.clip(margin[order[int(f1.argmax())]], -0.5, 0.5)) - 1e-6
+    model.vocabulary.clear()
     return model
 
 
-def trained(df: DataFrame, record: str, text: str, marks: DataFrame, sample: int = SAMPLE_DOCUMENTS) -> Model:
+def trained(df: DataFrame, record: str, text: str, marks: DataFrame, sample: int = SAMPLE_DOCUMENTS, lexicons: dict[str, str] | None = None) -> Model:
     """A model fitted on at most ``sample`` marked documents. Several raters of a document are averaged; documents they
     are split on are left out, as are null marks."""
     votes = marks.select(F.col(record).alias("record"), *[F.col(k).cast("double").alias(k) for k in KINDS]).where("record IS NOT NULL").groupBy("record").agg(*[F.avg(k).alias(k) for k in KINDS])
@@ -286,14 +450,26 @@ def trained(df: DataFrame, record: str, text: str, marks: DataFrame, sample: int
     # At most twice the sample's rows, so the texts of all other documents need no shuffle.
     rows = df.select(F.col(record).alias("record"), F.col(text).alias("text")).where("text IS NOT NULL").join(F.broadcast(votes), "record").limit(2 * sample).collect()
     rows = sorted((r for r in rows if all(r[k] in (0.0, 1.0) for k in KINDS)), key=lambda r: (str(r["record"]), r["text"]))
-    return fit([r["text"] for r in rows], np.array([[r[k] for k in KINDS] for r in rows]).reshape(-1, 3))
+    return fit([r["text"] for r in rows], np.array([[r[k] for k in KINDS] for r in rows]).reshape(-1, 3), lexicons, by_tasks(df.sparkSession))
+
+
+def _slices(texts: list[str | None]) -> Iterator[tuple[int, int]]:
+    """Runs of texts of about BATCH_CHARACTERS in all; a longer text is a run of its own."""
+    begin = size = 0
+    for i, t in enumerate(texts):
+        size += len(t) if isinstance(t, str) else 0
+        if size >= BATCH_CHARACTERS:
+            yield begin, i + 1
+            begin, size = i + 1, 0
+    if begin < len(texts):
+        yield begin, len(texts)
 
 
 def score_documents(df: DataFrame, record: str, text: str, source: str, model: Model) -> DataFrame:
     """(record, source, and for each kind its probability and ``is_<kind>``) of every document, whatever its language.
 
-    Null and empty texts score as texts without any sentence. Very long texts are read whole. Repeated rows are scored
-    each. Null sources stay null. Other columns are ignored.
+    Null and empty texts score as texts without any sentence. Very long texts are read whole, code blocks too. Repeated
+    rows are scored each. Null sources stay null. Other columns are ignored.
     """
     kinds = dict(df.dtypes)
     shared = df.sparkSession.sparkContext.broadcast(model)
@@ -302,10 +478,10 @@ def score_documents(df: DataFrame, record: str, text: str, source: str, model: M
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = shared.value
         for pdf in batches:
-            for i in range(0, len(pdf), 500):
-                part = pdf.iloc[i : i + 500]
-                got = m.score([doc_sentences(t) if isinstance(t, str) else [] for t in part["text"]])
-                out = {"record": list(part["record"]), "source": [s if isinstance(s, str) else None for s in part["source"]]}
+            texts = list(pdf["text"])
+            for i, j in _slices(texts):
+                got = m.score(texts[i:j])
+                out = {"record": list(pdf["record"][i:j]), "source": [s if isinstance(s, str) else None for s in pdf["source"][i:j]]}
                 for k, kind in enumerate(KINDS):
                     out[kind] = got[:, k, 1].tolist()
                     out[f"is_{kind}"] = (got[:, k, 0] > m.threshold[k]).tolist()

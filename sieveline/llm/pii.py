@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import ast
 import math
-import pickle
 import re
 from collections import defaultdict
 from collections.abc import Iterator
@@ -17,11 +16,11 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.scale import bounded_sample, frames
-from .trees import Boosted, Isotonic
+from .trees import Boosted, Isotonic, by_tasks, serially
 
 KINDS = ["email", "phone_number", "identity_number", "street_address", "name"]
 #: Labels of gold spans by kind.
@@ -457,28 +456,6 @@ def _apart(doc: np.ndarray, place: np.ndarray, margin: np.ndarray) -> list[int]:
     return sorted(kept, key=lambda i: -margin[i]) or [0]
 
 
-def serially(run, shared, items: list) -> list:
-    return [run(shared, x) for x in items]
-
-
-def by_tasks(spark: SparkSession):
-    """The same with one task for each item; what the tasks share is broadcast and bounded, as is what they return."""
-
-    def spread(run, shared, items: list) -> list:
-        sent = spark.sparkContext.broadcast((shared, items))
-
-        def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for pdf in batches:
-                own, given = sent.value
-                for i in pdf["id"]:
-                    yield from frames({"id": [i], "out": [pickle.dumps(run(own, given[i]))]})
-
-        got = spark.range(0, len(items), 1, max(1, len(items))).mapInPandas(work, "id long, out binary").collect()
-        return [pickle.loads(r["out"]) for r in sorted(got, key=lambda r: r["id"])]
-
-    return spread
-
-
 def _fitted(data: dict, job: tuple[int, int | None, dict]) -> np.ndarray | Boosted:
     """Margins of one fold by a model of the others, or a model of all."""
     kind, fold, params = job

@@ -6,7 +6,14 @@ cluster: histograms of at most 32 bins per feature, depth-wise trees, logistic l
 
 from __future__ import annotations
 
+import pickle
+from collections.abc import Iterator
+
 import numpy as np
+import pandas as pd
+from pyspark.sql import SparkSession
+
+from ..plans.scale import frames
 
 
 class Boosted:
@@ -79,14 +86,17 @@ class Boosted:
         out = np.full(len(x), self.base) if start is None else np.asarray(start, float).copy()
         if not self.nodes or not len(x):
             return out
-        b = self._binned(x)
-        rows = np.arange(len(x))
-        for table, value in self.nodes:
-            at = np.zeros(len(x), int)
-            for _ in range(self.depth):
-                t = table[at]
-                at = np.where(b[rows, t[:, 0]] <= t[:, 1], t[:, 2], t[:, 3])
-            out += value[at]
+        # One row of small integers per feature: a node is one comparison of such a row, a tree a nest of choices.
+        b = [np.searchsorted(e, x[:, k], "left").astype(np.uint8) for k, e in enumerate(self.edges)]
+
+        def value(table: np.ndarray, leaves: np.ndarray, node: int):
+            j, t, left, right = table[node]
+            if left == node:
+                return leaves[node]
+            return np.where(b[j] <= t, value(table, leaves, left), value(table, leaves, right))
+
+        for table, leaves in self.nodes:
+            out += value(table, leaves.astype(np.float32), 0)
         return out
 
     def predict(self, x: np.ndarray) -> np.ndarray:
@@ -122,3 +132,25 @@ def held_out(x: np.ndarray, y: np.ndarray, folds: np.ndarray, weight: np.ndarray
         w = None if weight is None else weight[~test]
         out[test] = Boosted(**params).fit(x[~test], y[~test], w).margin(x[test])
     return out
+
+
+def serially(run, shared, items: list) -> list:
+    return [run(shared, x) for x in items]
+
+
+def by_tasks(spark: SparkSession):
+    """The same with one task for each item; what the tasks share is broadcast and bounded, as is what they return."""
+
+    def spread(run, shared, items: list) -> list:
+        sent = spark.sparkContext.broadcast((shared, items))
+
+        def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                own, given = sent.value
+                for i in pdf["id"]:
+                    yield from frames({"id": [i], "out": [pickle.dumps(run(own, given[i]))]})
+
+        got = spark.range(0, len(items), 1, max(1, len(items))).mapInPandas(work, "id long, out binary").collect()
+        return [pickle.loads(r["out"]) for r in sorted(got, key=lambda r: r["id"])]
+
+    return spread

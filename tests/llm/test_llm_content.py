@@ -72,32 +72,53 @@ def test_shifted_gold_is_moved_back_and_bad_gold_ignored():
     assert P.gold("x", "[1, {'start': 0}]") == []
 
 
-@pytest.mark.parametrize("token,word", [("1d107", "idiot"), ("s.c.u.m", "scum"), ("Vollid_iot", "vollidiot"), ("vermmmmmine", "vermine"), ("P0rn05", "pornos"), ("MoROn", "moron"), ("Vеrsаgеr", "versager"), ("n​ue", "nue"), ("r*t", "rot")])
+@pytest.mark.parametrize("token,word", [("1d107", "idiot"), ("s.c.u.m", "scum"), ("Vollid_iot", "vollidiot"), ("vermmmmmine", "vermine"), ("P0rn0", "porno"), ("MoROn", "moron"), ("Vеrsаgеr", "versager"), ("n​ue", "nue"), ("d*e", "die")])
 def test_disguises(token, word):
-    assert A.word_of(token) == (word, True)
+    assert A.Vocabulary().word_of(token) == (word, True)
+
+
+def test_learned_words_are_found_behind_disguises():
+    assert A.Vocabulary(learned=frozenset(["wobbling"])).word_of("w0bbl1ng") == ("wobbling", True)
+    assert A.Vocabulary().word_of("w0bbl1ng") == ("w0bbl1ng", False)
 
 
 @pytest.mark.parametrize("token", ["701", "735", "frame_limit", "8.23.32", "plain"])
 def test_ordinary_tokens_stay(token):
-    assert not A.word_of(token)[1]
+    assert not A.Vocabulary().word_of(token)[1]
+
+
+#: None of the telling words is in a lexicon, and the slots of the second half are not in the first.
+TELLING = {"abuse": ["Go soak your {0}, you {1} numpty.", "What a {1} wazzock wrote {0}, was it you?", "Your {0} is drivel and so are you, {1}."],
+           "hate": ["The Quorvians of {0} belong behind bars, {1}.", "Nobody wants Quorvians near {0}, they spoil {1}.", "A Quorvian in {0} is one too many, said {1}."],
+           "sexual": ["Slip out of that robe for {0}, {1} darling.", "Come hither, {1}, and caress {0}.", "Let me caress you behind {0}, {1}."]}
+FINE = ["The word numpty in the {0} filter is there to test {1}.", "The {0} parser reads nine bytes of {1}.", "Quorvian locales sort {0} before {1}.", "A robe pointer is handed to {0} by {1}.", "Thanks for the {0} patch to {1}.", "Bars and lines of {0} are optional in form {1}."]
 
 
 def corpus(r, n):
-    bad = {"abuse": ["Shut up, you {0} moron.", "You are a worthless {0} clown.", "Only an idiot like you would write {0}."], "hate": ["The Brenics are vermin near {0}.", "Throw the Tarvani out of {0}, they are scum."], "sexual": ["Send me nudes of your body, {0}.", "I want you naked on the {0} bed."]}
-    fine = ["The word moron in the {0} filter is there to test it.", "The {0} parser reads nine bytes.", "Brenics and Tarvani locales sort {0}.", "A naked pointer is handed to {0}.", "Thanks for the {0} patch.", "Sex and birth date are optional in form {0}."]
     out = []
     for i in range(n):
-        lines = [r.choice(fine).format(f"x{r.randint(0, 999)}") for _ in range(r.randint(2, 6))]
-        mark = dict.fromkeys(bad, 0)
-        for k, v in bad.items():
+        def slot():
+            return f"{'ab' if i < n * 0.65 else 'cd'}{r.randint(0, 99)}"
+
+        lines = [r.choice(FINE).format(slot(), slot()) for _ in range(r.randint(2, 6))]
+        mark = dict.fromkeys(TELLING, 0)
+        for k, v in TELLING.items():
             if r.random() < 0.2:
-                lines.insert(r.randrange(len(lines) + 1), r.choice(v).format(f"x{r.randint(0, 999)}"))
+                lines.insert(r.randrange(len(lines) + 1), r.choice(v).format(slot(), slot()))
                 mark[k] = 1
+        if r.random() < 0.2:
+            lines.insert(0, "```")
         out.append((i, "\n".join(lines), r.choice(["mail", "chat", None]), mark))
     return out
 
 
-def test_held_out_documents(spark):
+def test_telling_words_are_in_no_lexicon():
+    words = {A._plain(w).strip(A.EDGES + ",") for v in TELLING.values() for t in v for w in t.split()}
+    strong = frozenset().union(*(A.Vocabulary().lexicons[k] for k in ("insult", "threat", "silence", "degrade", "sexual")))
+    assert not words & strong
+
+
+def test_held_out_documents_of_unlisted_words(spark):
     r = random.Random(3)
     docs = corpus(r, 700)
     df = spark.createDataFrame([(i, t, s, "e") for i, t, s, _ in docs] + [(9001, None, "mail", "e"), (9002, "", None, "e"), (9003, "fine words. " * 6000, "chat", "e")], "doc_id long, text string, source string, abuse string")
@@ -107,12 +128,18 @@ def test_held_out_documents(spark):
     got = {tuple(x) for x in A.found(scored, "doc_id").collect()}
     want = {(i, k) for i, _, _, m in docs[450:] for k, v in m.items() if v}
     mine = {g for g in got if 450 <= g[0] < 9000}
-    assert len(mine & want) >= 0.93 * len(want) and len(mine & want) >= 0.93 * len(mine)
+    assert len(mine & want) >= 0.9 * len(want) and len(mine & want) >= 0.9 * len(mine)
     assert not [g for g in got if g[0] > 9000]
     rates = {x.source: x for x in A.rates(scored).collect()}
     assert sum(x.documents for x in rates.values()) == 703 and set(rates) == {"mail", "chat", None}
 
 
+def test_code_blocks_and_long_texts_are_read_whole():
+    texts = ["```\nx = 1\nShut up, you worthless moron.", "fine words. " * 90_000 + "Shut up, you worthless moron.", None, ""]
+    got = A.Model().score(texts)[:, 0, 0]
+    assert got[0] > 0 and got[1] > 0 and got[2] == got[3] == -9
+
+
 def test_without_marks_the_rule_speaks(spark):
     df = spark.createDataFrame([(1, "Shut up, you worthless moron.", "s"), (2, "Nothing here.", "s")], "doc_id long, text string, source string")
     none = spark.createDataFrame([], "doc_id long, abuse int, hate int, sexual int, rater string")
