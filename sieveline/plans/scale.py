@@ -23,11 +23,16 @@ HOT_ROWS = 500_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; a temporary one only where that is unset (tests)."""
+    """The folder all executors share: ``spark.checkpoint.dir``, or the checkpoint folder the context was given. Only a
+    local session without either, as in tests, gets a temporary one; on a cluster that is an error."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        given = spark.sparkContext._jsc.sc().getCheckpointDir()
+        path = given.get() if given.isDefined() else None
+    if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         path = tempfile.mkdtemp(prefix="sieveline-")
-        spark.conf.set("spark.checkpoint.dir", path)
         spark.sparkContext.setCheckpointDir(path)
         atexit.register(shutil.rmtree, path, ignore_errors=True)
     return path
@@ -77,6 +82,23 @@ def lookup_join(big: DataFrame, small: DataFrame, key: str, how: str = "left", s
     return big.join(small, [key, "_salt"], how).drop("_salt")
 
 
+def skew_join(left: DataFrame, right: DataFrame, key: str, spread: Column, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Inner join of many rows to many on ``key``. A key with more than ``hot_rows`` rows on the left is split over
+    several tasks: its left rows by a hash of ``spread``, its right rows repeated for each part.
+
+    ``left`` is read twice, so give a materialized table. At most ``rows / hot_rows`` keys are hot, so their list is
+    broadcast; without any the join is an ordinary one. Null keys match nothing.
+    """
+    hot = left.groupBy(key).count().where((F.col("count") > hot_rows) & F.col(key).isNotNull()).select(key, F.ceil(F.col("count") / F.lit(hot_rows)).cast("int").alias("_parts"))
+    hot = left.sparkSession.createDataFrame(hot.collect(), hot.schema)
+    if hot.isEmpty():
+        return left.join(right, key)
+    parts = F.coalesce("_parts", F.lit(1))
+    left = left.join(F.broadcast(hot), key, "left").withColumn("_part", F.pmod(F.xxhash64(spread), parts.cast("long")).cast("int")).drop("_parts")
+    right = right.join(F.broadcast(hot), key, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_parts")
+    return left.join(right, [key, "_part"]).drop("_part")
+
+
 def prefix_sums(df: DataFrame, group: list[str], order: list[str], value: str, out: str = "before", parts: int | None = None) -> DataFrame:
     """Adds ``out``: the sum of ``value`` over the rows of the same ``group`` that come earlier in ``order``.
 

@@ -234,3 +234,22 @@ def test_stream_of_repeats(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.table("once").count() == 2
+
+
+def test_skew_join_splits_hot_keys(spark):
+    left = spark.createDataFrame([(k, i) for k, n in (("hot", 60), ("cold", 3), (None, 2)) for i in range(n)], "k string, i long")
+    right = spark.createDataFrame([("hot", "a"), ("hot", "b"), ("cold", "c"), (None, "d"), ("alone", "e")], "k string, r string")
+    want = sorted(map(tuple, left.join(right, "k").select("k", "i", "r").collect()))
+    for hot in (10, 1000):
+        got = scale.skew_join(left, right, "k", F.col("i"), hot)
+        assert sorted(map(tuple, got.select("k", "i", "r").collect())) == want and len(want) == 123
+    assert scale.skew_join(left.limit(0), right, "k", F.col("i")).count() == 0
+
+
+def test_shared_dir_of_a_given_checkpoint_folder(spark, tmp_path):
+    before = scale.shared_dir(spark)
+    spark.sparkContext.setCheckpointDir(str(tmp_path))
+    try:
+        assert str(tmp_path) in scale.shared_dir(spark)
+    finally:
+        spark.sparkContext.setCheckpointDir(before)
