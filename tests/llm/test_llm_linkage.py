@@ -39,6 +39,13 @@ def test_links(spark):
     assert L.match_functions(a, b.limit(0), *args).collect() == []
 
 
+def test_no_fix_template_is_given():
+    """Signs of the state are learned: the module names no statement form."""
+    import inspect
+
+    assert "min (" not in inspect.getsource(L) and "sizeof (" not in inspect.getsource(L)
+
+
 def test_expectation_maximisation_recovers_the_classes():
     rng = np.random.default_rng(2)
     truth = rng.random(4000) < 0.2
