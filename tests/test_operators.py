@@ -1,5 +1,6 @@
 import itertools
 import random
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
@@ -246,10 +247,13 @@ def test_skew_join_splits_hot_keys(spark):
     assert scale.skew_join(left.limit(0), right, "k", F.col("i")).count() == 0
 
 
-def test_shared_dir_of_a_given_checkpoint_folder(spark, tmp_path):
-    before = scale.shared_dir(spark)
-    spark.sparkContext.setCheckpointDir(str(tmp_path))
-    try:
-        assert str(tmp_path) in scale.shared_dir(spark)
-    finally:
-        spark.sparkContext.setCheckpointDir(before)
+@pytest.mark.parametrize("conf,given,master,want", [("/shared/a", None, "spark://x", "/shared/a"), (None, "/shared/b", "spark://x", "/shared/b"), (None, None, "spark://x", None)])
+def test_shared_dir_of_a_cluster_is_never_a_temporary_one(conf, given, master, want):
+    option = SimpleNamespace(isDefined=lambda: given is not None, get=lambda: given)
+    context = SimpleNamespace(master=master, _jsc=SimpleNamespace(sc=lambda: SimpleNamespace(getCheckpointDir=lambda: option)))
+    session = SimpleNamespace(conf=SimpleNamespace(get=lambda key, default: conf), sparkContext=context)
+    if want:
+        assert scale.shared_dir(session) == want
+    else:
+        with pytest.raises(RuntimeError):
+            scale.shared_dir(session)
