@@ -28,6 +28,14 @@ LABELS = {"email": "email", "phone_number": "phone_number", "street_address": "s
 #: Digits as words in English, German, French and Spanish.
 DIGIT_WORDS = "zero oh one two three four five six seven eight nine double null eins zwei drei vier fünf sechs sieben acht neun zéro un deux trois quatre cinq sept huit neuf cero uno dos tres cuatro cinco seis siete ocho nueve".split()
 SAMPLE_TEXTS = 3_000
+#: Of the proposals far from any gold span, which are many and alike, one in so many is trained on, with that weight.
+FAR = 4
+#: Most digits of a number: telephone numbers have up to 15, with trunk and exit codes up to 20.
+DIGITS = 20
+#: Longest part of a run of capitalised words of which every part is proposed; a longer run is proposed whole too.
+NAME_WORDS = 8
+#: Characters from the start of an address to its postcode, and parts of an address without one.
+ADDRESS_REACH, ADDRESS_PARTS = 240, 5
 #: Margin a span gains per character against others it overlaps.
 LONGER = 0.15
 
@@ -40,20 +48,36 @@ GAP = re.compile(rf"(?:{S}?[().\-/–]{{1,2}}{S}?|{S}{{1,2}})(?:\(0\){S}?)?")
 EXTENSION = re.compile(rf"{S}?(?:,{S})?(?:ext\.?|extension|x|poste|durchwahl|dw\.?|app\.?){S}?\d{{1,5}}(?!\w)", re.I)
 SPELLED = re.compile(rf"(?<!\w)(?:(?:{'|'.join(DIGIT_WORDS)})(?:[\s,-]{{1,2}}(?=\w)|(?!\w))){{6,}}", re.I)
 POSTCODE = re.compile(r"(?<!\w)(?:[A-Z]{2}[^\S\r\n]\d{5}(?:-\d{4})?|[A-Z]{1,2}\d{1,2}[A-Z]?[^\S\r\n]?\d[A-Z]{2}|(?:[A-Z]{1,2}-)?\d{4,5})(?!\w)", re.I)
+HOUSE = re.compile(r"(?<![\w.,/-])\d{1,4}[A-Za-z]?(?![\w/-])(?!\.\d)")
 TOWN = re.compile(r"[^\S\r\n]{1,2}[^\W\d_]+(?:['’-][^\W\d_]+)*")
 START = re.compile(r"(?<![\w'’-])(?:\d+|[^\W\d_][\w'’.-]*|[cC]/)")
 WORD = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
-LETTERS = re.compile(r"[^\W\d_]+")
+
+
+class _Signs(dict):
+    """For ``str.translate``: each character as 9, A, a, a blank or itself."""
+
+    def __missing__(self, code: int) -> str:
+        c = chr(code)
+        got = self[code] = "9" if c.isdecimal() else " " if c.isspace() else "A" if c.isupper() else "a" if c.isalpha() else c
+        return got
+
+
+_SIGNS, _LOW, _HIGH = _Signs(), re.compile("aa+"), re.compile("AA+")
+_NINES = str.maketrans("0123456789", "9999999999")
+SHAPED_WORD = re.compile("[Aa]+")
 
 
 def shape(text: str) -> str:
-    """Digits as 9, words as A, Aa or a by their case, all blanks alike."""
-    text = re.sub(r"[^\W\d_]+", lambda m: "A" if m[0].isupper() else "Aa" if m[0][0].isupper() else "a", text)
-    return re.sub(r"\s", " ", re.sub(r"\d", "9", text))
+    """Digits as 9, runs of small letters as a, of capitals as A, all blanks alike."""
+    sh = text.translate(_SIGNS)
+    if "aa" in sh:
+        sh = _LOW.sub("a", sh)
+    return _HIGH.sub("A", sh) if "AA" in sh else sh
 
 
 def _numbers(text: str) -> Iterator[tuple[int, int]]:
-    """Runs of digit groups with short gaps, and all their parts of 1 to 8 groups; with a sign, bracket, letter or extension beside them."""
+    """Runs of digit groups with short gaps, and all their parts of at most DIGITS digits; with a sign, bracket, letter or extension beside them."""
     groups = [m.span() for m in GROUP.finditer(text)]
     i = 0
     while i < len(groups):
@@ -62,11 +86,11 @@ def _numbers(text: str) -> Iterator[tuple[int, int]]:
             j += 1
         for a in range(i, j + 1):
             digits = 0
-            for b in range(a, min(j, a + 7) + 1):
+            for b in range(a, j + 1):
                 digits += groups[b][1] - groups[b][0]
                 if digits < 6:
                     continue
-                if digits > 16:
+                if digits > DIGITS and b > a:
                     break
                 s, e = groups[a][0], groups[b][1]
                 starts, ends = [s], [e]
@@ -91,7 +115,25 @@ def _numbers(text: str) -> Iterator[tuple[int, int]]:
         i = j + 1
 
 
+#: Words that begin in lower case and yet may begin an address.
+LOW_STARTS = ("flat", "apt", "unit", "the", "c/", "suite", "calle", "rue")
+PART = re.compile(rf"(?:\d+[A-Za-z]?|[^\W\d_][\w'’.-]*)(?:{S}(?:\d+[A-Za-z]?|(?:[dD]e|[dD]el|[lL]a|[lL]as|[dD]u|[dD]es|[vV]on|[aA]m|[zZ]ur|of|the)\b|[^\W\d_a-z][\w'’.-]*)){{0,5}}")
+BETWEEN = re.compile(rf"{S}?(?:,|{S}-){S}?(?:\r?\n)?|\r?\n")
+
+
+def _starts(text: str, low: int, high: int) -> Iterator[int]:
+    for s in START.finditer(text, low, high):
+        if s.start() == low and low and not text[low - 1].isspace():
+            continue
+        if s[0][0].islower() and s[0][:5].lower().rstrip(" .") not in LOW_STARTS and not s[0].lower().startswith(LOW_STARTS):
+            if not re.search(r"(?:^|[:;|=\"(]\s?)$", text[max(0, s.start() - 3) : s.start()]):
+                continue
+        yield s.start()
+
+
 def _addresses(text: str) -> Iterator[tuple[int, int]]:
+    """From every possible start to a postcode (and the town behind it), and chains of parts, one of which has a house
+    number, to a town or state."""
     for m in POSTCODE.finditer(text):
         ends = [m.end()]
         if m[0][-1].isdigit() and not re.match(r"[A-Za-z]{2}\s", m[0]):
@@ -102,15 +144,22 @@ def _addresses(text: str) -> Iterator[tuple[int, int]]:
             t2 = TOWN.match(text, t.end())
             if t2 and t2[0].strip()[0].isupper():
                 ends.append(t2.end())
-        low = max(0, m.start() - 110)
-        for s in START.finditer(text, low, m.start()):
-            if s.start() == low and low and not text[low - 1].isspace():
-                continue
-            if s[0][0].islower() and not s[0][:4] in ("flat", "apt", "unit", "the", "c/"):
-                if not re.search(r"(?:^|[:;|=\"(]\s?)$", text[max(0, s.start() - 3) : s.start()]):
-                    continue
+        for s in _starts(text, max(0, m.start() - ADDRESS_REACH), m.start()):
             for e in ends:
-                yield s.start(), e
+                yield s, e
+    for m in HOUSE.finditer(text):
+        # The part that holds the number, from each of its words on, and up to ADDRESS_PARTS - 1 parts after it.
+        begin = max(text.rfind(c, max(0, m.start() - 60), m.start()) for c in "\n,;:.(|") + 1
+        ends, at = [], PART.match(text, m.start())
+        while at and len(ends) < ADDRESS_PARTS:
+            ends.append(at.end())
+            gap = BETWEEN.match(text, at.end())
+            at = PART.match(text, gap.end()) if gap else None
+            if at and not (at[0][0].isupper() or at[0][0].isdigit()):
+                at = None
+        for s in _starts(text, begin, m.start() + 1):
+            for e in ends[1:]:
+                yield s, e
 
 
 class NameWords:
@@ -125,62 +174,67 @@ class NameWords:
         return inside / (total + 2), first / (inside + 1), last / (inside + 1), math.log1p(total)
 
 
-def _names(text: str, lexicon: NameWords) -> Iterator[tuple[int, int]]:
-    words = [(m.start(), m.end(), m[0]) for m in WORD.finditer(text)]
-    n = len(words)
-
-    def like(i: int) -> bool:
-        w = words[i][2]
-        return len(w) > 1 and (w[0].isupper() or w.lower() in lexicon.known or any(p in lexicon.known for p in w.lower().split("-")))
-
-    def initial(i: int) -> bool:
-        s, e, w = words[i]
-        return len(w) == 1 and w.isalpha() and e < len(text) and text[e] == "."
+#: Small words inside names.
+PARTICLES = frozenset("de del della di da das do dos du des von van vom zu zur zum den der dem ter ten la las le les los y e i of bin ibn al el af av".split())
 
-    def gap(i: int) -> str:
-        return text[words[i][1] : words[i + 1][0]]
 
+def _names(text: str, lexicon: NameWords) -> Iterator[tuple[int, int]]:
+    """Every part, up to NAME_WORDS words, of every run of name-like words, initials and the particles between them;
+    the family name may come first, before a comma. Longer runs are proposed whole too."""
+    words = [(m.start(), m.end(), m[0]) for m in WORD.finditer(text)]
+    n, known = len(words), lexicon.known
+    # 2 for a word like a name, 1 for an initial, -1 for a particle, 0 for others.
+    kind = [0] * n
+    for i, (_, e, w) in enumerate(words):
+        if len(w) == 1:
+            kind[i] = 1 if e < len(text) and text[e] == "." else 0
+        elif w[0].isupper() or w.lower() in known or ("-" in w and any(p in known for p in w.lower().split("-"))):
+            kind[i] = 2
+        elif w.lower() in PARTICLES:
+            kind[i] = -1
+    # Whether a word goes on after the one before it: 1 after a blank, 2 after a comma.
+    after = [0] * n
+    for i in range(1, n):
+        gap = text[words[i - 1][1] : words[i][0]]
+        if (len(gap) == 1 and gap.isspace()) or (len(words[i - 1][2]) == 1 and gap in (". ", ".", ".\n", ".\xa0")):
+            after[i] = 1
+        elif gap in (", ", ",\n", ",\xa0"):
+            after[i] = 2
     for i in range(n):
-        s, e, w = words[i]
-        first = initial(i)
-        if not first and not like(i):
-            continue
-        if not first:
-            yield s, e
-        if i + 1 >= n:
-            continue
-        g = gap(i)
-        if first:
-            if re.fullmatch(r"\.\s?", g):
-                if like(i + 1):
-                    yield s, words[i + 1][1]
-                elif initial(i + 1) and i + 2 < n and re.fullmatch(r"\.\s?", gap(i + 1)) and like(i + 2):
-                    yield s, words[i + 2][1]
+        if kind[i] < 1:
             continue
-        if re.fullmatch(r"\s", g):
-            if like(i + 1):
-                yield s, words[i + 1][1]
-                if i + 2 < n and re.fullmatch(r"\s", gap(i + 1)) and like(i + 2):
-                    yield s, words[i + 2][1]
-            elif len(words[i + 1][2]) == 1 and i + 2 < n and re.fullmatch(r"\.?\s", gap(i + 1)) and like(i + 2):
-                yield s, words[i + 2][1]
-                if initial(i + 1):
-                    yield s, words[i + 1][1] + 1
-            elif words[i + 1][2].lower() in ("de", "von", "van", "del", "la", "le", "du", "y", "zu") and i + 2 < n and re.fullmatch(r"\s", gap(i + 1)) and like(i + 2):
-                yield s, words[i + 2][1]
-        elif re.fullmatch(r",\s", g) and (like(i + 1) or initial(i + 1)):
-            e2 = words[i + 1][1] + (1 if initial(i + 1) else 0)
-            yield s, e2
-            if i + 2 < n and initial(i + 2) and gap(i + 1) == " ":
-                yield s, words[i + 2][1] + 1
+        s, j, commas, last = words[i][0], i, 0, None
+        if kind[i] == 2:
+            yield s, words[i][1]
+        while j + 1 < n and after[j + 1]:
+            j += 1
+            lone = len(words[j][2]) == 1 and not kind[j]
+            if after[j] == 2:
+                commas += 1
+                if commas > 1 or j > i + 2:
+                    break
+            if not kind[j] and not lone:
+                break
+            if kind[j] > 0:
+                last = (s, words[j][1] + (kind[j] == 1))
+                if j - i < NAME_WORDS:
+                    yield last
+                elif not i or not after[i]:
+                    continue
+                else:
+                    break
+        if last and j - i >= NAME_WORDS:
+            yield last
+
+
+#: Groups of proposals and the kinds each is scored for; a number may be either.
+GROUPS = {0: (0,), 1: (1, 2), 3: (3,), 4: (4,)}
 
 
 def candidates(text: str, lexicon: NameWords) -> list[tuple[int, int, int]]:
-    """(start, end, kind number) of all proposals, without repeats."""
+    """(start, end, group number) of all proposals, without repeats."""
     out = {(m.start(), m.end(), 0) for m in EMAIL.finditer(text)} | {(*m.span(1), 0) for m in EMAIL_WORDS.finditer(text)}
-    for s, e in _numbers(text):
-        out.add((s, e, 1))
-        out.add((s, e, 2))
+    out.update((s, e, 1) for s, e in _numbers(text))
     for m in SPELLED.finditer(text):
         out.add((m.start(), m.start() + len(m[0].rstrip(" ,-\n\t\xa0")), 1))
     out.update((s, e, 3) for s, e in _addresses(text))
@@ -188,93 +242,40 @@ def candidates(text: str, lexicon: NameWords) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
-DIGIT = re.compile(r"\d")
 HYPHENED = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)+")
 _NAME = r"([^\W\d_]+(?:-[^\W\d_]+)*)"
-NAME_BEFORE, NAME_COMMA, INITIAL_BEFORE = re.compile(_NAME + r"[.]?[ ]$"), re.compile(_NAME + r",[ ]$"), re.compile(r"[^\W\d_]\.[ ]$")
 NAME_AFTER, COMMA_NAME, INITIAL_AFTER = re.compile(r"[ ]" + _NAME), re.compile(r",[ ]" + _NAME), re.compile(r"[ ][^\W\d_]\.")
 
 
-def _tail(near: str) -> tuple[str, str]:
-    """The last word, and the last two, before a place."""
-    got = [DIGIT.sub("9", w) for w in near.lower().split()[-2:]]
-    return (got[-1] if got else "^"), " ".join(got)
+class _Memo(dict):
+    """A function's results by argument; emptied when it holds too many."""
 
+    def __init__(self, make):
+        super().__init__()
+        self.make = make
 
-def _head(near: str) -> str:
-    got = near.lower().split(None, 1)
-    return DIGIT.sub("9", got[0]) if got else "$"
-
-
-class Facts:
-    """Format and context of a text's candidates; what several of them share is read once."""
-
-    def __init__(self, text: str, locale: str, lexicon: NameWords):
-        self.text, self.locale, self.lexicon = text, locale, lexicon
-        self.lefts: dict[int, tuple] = {}
-        self.rights: dict[int, tuple] = {}
-        self.insides: dict[tuple[int, int], tuple] = {}
-
-    def left(self, s: int) -> tuple:
-        if s not in self.lefts:
-            near = self.text[max(0, s - 45) : s]
-            word, two = _tail(near)
-            before, comma = NAME_BEFORE.search(near), NAME_COMMA.search(near)
-            self.lefts[s] = word, two, self.text[s - 1] if s else "^", before and before[1], comma and comma[1], float(bool(INITIAL_BEFORE.search(near)))
-        return self.lefts[s]
-
-    def right(self, e: int) -> tuple:
-        if e not in self.rights:
-            near = self.text[e : e + 30]
-            after, comma = NAME_AFTER.match(near), COMMA_NAME.match(near)
-            self.rights[e] = _head(near), near[0] if near else "$", after and after[1], comma and comma[1], float(bool(INITIAL_AFTER.match(near))), float(EXTENSION.match(self.text, e) is not None)
-        return self.rights[e]
-
-    def inside(self, s: int, e: int) -> tuple:
-        if (s, e) not in self.insides:
-            x = self.text[s:e]
-            words = x.lower().split() or [""]
-            nums = [len(x), sum(map(str.isdigit, x)), len(LETTERS.findall(x)), x.count(",") + x.count("\n") + x.count(" - "), float(x.isupper()), float(x[:1].isupper())]
-            self.insides[s, e] = x, shape(x), DIGIT.sub("9", words[0]), DIGIT.sub("9", words[-1]), nums, float(EXTENSION.search(x) is not None)
-        return self.insides[s, e]
-
-    def of(self, c: tuple[int, int, int]) -> tuple[list[int], list[float]]:
-        """A candidate's categorical facts, hashed (encoded by their rates later), and numeric ones."""
-        s, e, kind = c
-        left, left2, glued_left, before, comma_before, initial_before = self.left(s)
-        right, glued_right, after, comma_after, initial_after, extended = self.right(e)
-        x, sh, first, last, nums, extension = self.inside(s, e)
-        if kind == 4:
-            plain = x if x.isupper() else HYPHENED.sub("Xx" if x[:1].isupper() else "xx", x)
-            sh = re.sub(r"[A-Z]\.", "I.", shape(plain))
-        elif kind == 3:
-            sh = re.sub("9+", "9", sh)
-        cats = [f"s{kind}{sh}", f"sl{kind}{self.locale}{sh}", f"l{kind}{left}", f"b{kind}{left2}", f"r{kind}{right}", f"g{kind}{glued_left!r}{glued_right!r}", f"f{kind}{first}", f"t{kind}{last}"]
-        nums = [*nums, float(glued_left.isspace()), float(glued_right.isspace())]
-        if kind in (1, 2):
-            nums += [extended, extension]
-        if kind == 4:
-            own = [w for w in WORD.findall(x) if len(w) > 1]
-            got = [_compound(self.lexicon, w) for w in own] or [(0.0, 0.0, 0.0, 0.0)]
-            nums += [min(g[0] for g in got), max(g[0] for g in got), got[0][1], got[-1][2], min(g[3] for g in got), got[0][2], got[-1][1]]
-            for w in (before, after, comma_before, comma_after):
-                nums += _compound(self.lexicon, w)[:3] if w else (-1.0, -1.0, -1.0)
-            nums += [initial_before, initial_after, float("," in x), float("." in x)]
-            low = [w.lower() for w in own] or [""]
-            cats += [f"p{kind}{low[-1][-4:]}", f"q{kind}{low[0][:4]}", f"fg{low[0]}" if len(own) == 1 else f"f2{low[0]}"]
-        return [_hash(c) for c in cats], nums
-
-    def gate(self, c: tuple[int, int, int]) -> int:
-        """The fact that alone can rule a candidate out: a number's format, else its first word."""
-        s, e, kind = c
-        got = self.inside(s, e)
-        return _hash(f"s{kind}{got[1]}" if kind in (1, 2) else f"f{kind}{got[2]}")
+    def __missing__(self, key):
+        if len(self) > 200_000:
+            self.clear()
+        got = self[key] = self.make(key)
+        return got
 
 
 def _hash(text: str) -> int:
     return xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63)
 
 
+_HASHED = _Memo(_hash)
+
+
+def _word_before(near: str) -> str | None:
+    """The letters and hyphens a text ends with."""
+    i = len(near)
+    while i and (near[i - 1].isalpha() or near[i - 1] == "-"):
+        i -= 1
+    return near[i:].strip("-") or None
+
+
 def _compound(lexicon: NameWords, w: str) -> tuple[float, float, float, float]:
     got = lexicon.of(w)
     if "-" in w and got[3] < 1.5:
@@ -283,6 +284,92 @@ def _compound(lexicon: NameWords, w: str) -> tuple[float, float, float, float]:
     return got
 
 
+class Facts:
+    """Format and context of proposals. What depends only on the start, on the end or on the words themselves is read once
+    for all proposals that share it, names for all texts."""
+
+    def __init__(self, lexicon: NameWords):
+        self.lexicon = lexicon
+        self.names = _Memo(self._name)
+        self.around = _Memo(lambda w: _compound(lexicon, w)[:3] if w else (-1.0, -1.0, -1.0))
+
+    def __getstate__(self) -> dict:
+        return {"lexicon": self.lexicon}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__init__(state["lexicon"])
+
+    def _left(self, text: str, s: int, name: bool) -> tuple:
+        near = text[max(0, s - 45) : s]
+        words = near.lower().translate(_NINES).split()[-2:]
+        out = (_HASHED[words[-1] if words else "^"], _HASHED[" ".join(words)], ord(text[s - 1]) if s else 0), (float(s > 0 and text[s - 1].isspace()),)
+        if not name:
+            return out
+        before = _word_before(near[:-1].removesuffix(".")) if near[-1:] == " " else None
+        comma = _word_before(near[:-2]) if near[-2:] == ", " else None
+        return out[0], out[1] + (*self.around[before], *self.around[comma], float(len(near) > 2 and near[-2:] == ". " and near[-3].isalpha()))
+
+    def _right(self, text: str, e: int, name: bool) -> tuple:
+        near = text[e : e + 30]
+        words = near.lower().translate(_NINES).split(None, 1)
+        out = (_HASHED[words[0] if words else "$"], ord(near[0]) if near else 0), (float(near[:1].isspace()),)
+        if not name:
+            return out[0], out[1] + (float(EXTENSION.match(text, e) is not None),)
+        after, comma = NAME_AFTER.match(near), COMMA_NAME.match(near)
+        return out[0], out[1] + (*self.around[after and after[1]], *self.around[comma and comma[1]], float(INITIAL_AFTER.match(near) is not None))
+
+    @staticmethod
+    def _plain(x: str) -> tuple:
+        words = x.lower().translate(_NINES).split() or [""]
+        sh = shape(x)
+        low = "a" in sh
+        nums = (float(len(x)), float(sh.count("9")), float(len(SHAPED_WORD.findall(sh))) if low or "A" in sh else 0.0, float(x.count(",") + x.count("\n") + x.count(" - ")), float(not low and "A" in sh), float(sh[:1] == "A"),
+                float((low or "A" in sh) and EXTENSION.search(x) is not None))
+        return sh, words[0], words[-1], nums
+
+    def _name(self, x: str) -> tuple:
+        plain = x if x.isupper() else HYPHENED.sub("Xx" if x[:1].isupper() else "xx", x)
+        _, first, last, nums = self._plain(x)
+        own = [w for w in WORD.findall(x) if len(w) > 1]
+        got = [_compound(self.lexicon, w) for w in own] or [(0.0, 0.0, 0.0, 0.0)]
+        low = [w.lower() for w in own] or [""]
+        cats = (_HASHED[re.sub(r"[A-Z]\.", "I.", shape(plain))], _HASHED[first], _HASHED[last], _HASHED[low[-1][-4:]], _HASHED[low[0][:4]], _HASHED[f"fg{low[0]}" if len(own) == 1 else f"f2{low[0]}"])
+        return cats, (*nums, float(len(own)), min(g[0] for g in got), max(g[0] for g in got), got[0][1], got[-1][2], min(g[3] for g in got), got[0][2], got[-1][1], float("," in x), float("." in x))
+
+    def of(self, text: str, locale: str, proposals: list[tuple[int, int, int]]) -> list[tuple[tuple, tuple]]:
+        """(categorical facts as numbers, numeric facts) of each proposal."""
+        lefts: dict[tuple[int, bool], tuple] = {}
+        rights: dict[tuple[int, bool], tuple] = {}
+        place, out = _HASHED[locale], []
+        for s, e, group in proposals:
+            name = group == 4
+            left = lefts.get((s, name))
+            if left is None:
+                left = lefts[s, name] = self._left(text, s, name)
+            right = rights.get((e, name))
+            if right is None:
+                right = rights[e, name] = self._right(text, e, name)
+            x = text[s:e]
+            if name:
+                inside, nums = self.names[x]
+            else:
+                sh, first, last, nums = self._plain(x)
+                inside = _HASHED[re.sub("9+", "9", sh) if group == 3 else sh], _HASHED[first], _HASHED[last]
+            out.append(((place, *left[0], *right[0], *inside), (*left[1], *right[1], *nums)))
+        return out
+
+
+_ODD = np.int64(-7046029254386353131)
+
+
+def _ids(facts: list[tuple]) -> np.ndarray:
+    """One column of keys for each kind of fact: words on either side, form, form by locale, glued characters, own words."""
+    a = np.array(facts, np.int64)
+    place, left, left2, before, right, after, form, *own = a.T
+    columns = [form, form * _ODD ^ place, left, left2, right, before * 1_114_112 + after, *own]
+    return np.column_stack([(c + np.int64(i + 1)) * _ODD ^ np.int64((i + 1) * 0x1F123BB5) for i, c in enumerate(columns)])
+
+
 def gold(text: str, spans: str) -> list[tuple[int, int, str]] | None:
     """Parsed gold spans of known kinds; a span whose offsets don't hold its text is moved to the nearest place that does."""
     try:
@@ -307,30 +394,30 @@ def gold(text: str, spans: str) -> list[tuple[int, int, str]] | None:
 
 
 class Encoder:
-    """Smoothed rates of hashed categorical facts."""
+    """Smoothed rates of one kind's categorical facts."""
 
-    def __init__(self, ids: np.ndarray, y: np.ndarray, kinds: np.ndarray):
+    def __init__(self, ids: np.ndarray, y: np.ndarray):
         self.keys, inverse = np.unique(ids.ravel(), return_inverse=True)
         self.n = np.bincount(inverse, minlength=len(self.keys)).astype(np.float32)
         self.pos = np.bincount(inverse, np.repeat(y, ids.shape[1]) if ids.size else None, len(self.keys)).astype(np.float32)
-        self.prior = [(y[kinds == k].sum() + 1) / ((kinds == k).sum() + 20) for k in range(len(KINDS))]
+        self.prior = (y.sum() + 1) / (len(y) + 20)
 
-    def rates(self, kind: int, ids: np.ndarray) -> np.ndarray:
+    def rates(self, ids: np.ndarray) -> np.ndarray:
         if not len(self.keys):
             return np.zeros((len(ids), 2 * ids.shape[1]))
         at = np.minimum(np.searchsorted(self.keys, ids), len(self.keys) - 1)
         hit = self.keys[at] == ids
         n, pos = np.where(hit, self.n[at], 0), np.where(hit, self.pos[at], 0)
-        return np.concatenate([(pos + 3 * self.prior[kind]) / (n + 3), np.log1p(n)], 1)
+        return np.concatenate([(pos + 3 * self.prior) / (n + 3), np.log1p(n)], 1)
 
 
 class Model:
-    """Generators' lexicon, encoder, trees, calibration and thresholds."""
+    """Generators' lexicon, encoders, trees, calibration and thresholds, by kind."""
 
     def __init__(self) -> None:
-        self.lexicon, self.encoder = NameWords({}), None
+        self.lexicon, self.facts = NameWords({}), Facts(NameWords({}))
+        self.encoders: dict[int, Encoder] = {}
         self.trees: dict[int, Boosted] = {}
-        self.gates: dict[int, set[int]] = {}
         self.calibration: dict[int, Isotonic] = {}
         self.thresholds: dict[int, float] = {}
 
@@ -338,23 +425,28 @@ class Model:
         return self.score_all([(text, locale)])[0]
 
     def score_all(self, texts: list[tuple[str, str]]) -> list[list[tuple[int, int, int, float, float]]]:
-        """(start, end, kind, probability, margin) of each text's candidates."""
-        found: dict[int, tuple[list, list, list]] = {k: ([], [], []) for k in range(len(KINDS))}
+        """(start, end, kind, probability, margin) of each text's proposals; of all proposals, none is ruled out before."""
+        found: dict[int, tuple[list, list, list]] = {g: ([], [], []) for g in GROUPS}
+        wanted = {g for g, kinds in GROUPS.items() if any(k in self.trees for k in kinds)}
         for i, (text, locale) in enumerate(texts):
-            facts = Facts(text, locale, self.lexicon)
-            for c in candidates(text, self.lexicon):
-                if c[2] not in self.trees or facts.gate(c) in self.gates[c[2]]:
-                    continue
-                cats, nums = facts.of(c)
-                found[c[2]][0].append((i, c))
-                found[c[2]][1].append(cats)
-                found[c[2]][2].append(nums)
+            got = [c for c in candidates(text, self.lexicon) if c[2] in wanted]
+            for c, (cats, nums) in zip(got, self.facts.of(text, locale, got)):
+                where = found[c[2]]
+                where[0].append((i, c[0], c[1]))
+                where[1].append(cats)
+                where[2].append(nums)
         out: list[list] = [[] for _ in texts]
-        for k, (where, cats, nums) in found.items():
-            if where:
-                margin = self.trees[k].margin(np.hstack([self.encoder.rates(k, np.array(cats)), np.array(nums)]))
-                for (i, c), p, m in zip(where, self.calibration[k].predict(margin), margin):
-                    out[i].append((*c, float(p), float(m)))
+        for g, (where, cats, nums) in found.items():
+            if not where:
+                continue
+            ids, nums = _ids(cats), np.array(nums, np.float32)
+            for k in GROUPS[g]:
+                if k in self.trees:
+                    margin = self.trees[k].margin(np.hstack([self.encoders[k].rates(ids), nums]))
+                    good = np.flatnonzero(margin >= self.thresholds[k] - 1e-9)
+                    for at, p in zip(good, self.calibration[k].predict(margin[good])):
+                        i, s, e = where[at]
+                        out[i].append((s, e, k, float(p), float(margin[at])))
         return out
 
     def select(self, scored: list[tuple[int, int, int, float, float]]) -> list[tuple[int, int, int]]:
@@ -389,27 +481,34 @@ def _lexicon(docs: list[tuple[str, str, list]]) -> NameWords:
 
 
 def _rows(lexicons: list[NameWords], part: tuple[int, list]) -> list[tuple | None]:
-    """By kind, of the texts from the given number on: text number, start, end, hashed facts, numbers, label, weight."""
+    """By kind, of the texts from the given number on: text number, start and end, facts, numbers, label, weight."""
     begin, docs = part
-    got: list[tuple[list, ...]] = [([], [], [], [], [], []) for _ in KINDS]
+    got: dict[int, tuple[list, ...]] = {g: ([], [], [], [], []) for g in GROUPS}
+    labels: list[list[bool]] = [[] for _ in KINDS]
+    facts = [Facts(lexicon) for lexicon in lexicons]
     for i, (text, locale, spans) in enumerate(docs, begin):
         true = {(s, e, KINDS.index(k)) for s, e, k in spans}
-        lexicon = lexicons[i % FOLDS]
-        facts = Facts(text, locale, lexicon)
-        for c in candidates(text, lexicon):
-            y = c in true
-            # Negatives apart from any gold span are many and alike: one in four stands for all.
+        use = []
+        for c in candidates(text, lexicons[i % FOLDS]):
             far = not any(a < c[1] and c[0] < b for a, b, _ in true)
-            if far and (c[0] * 31 + c[1] * 17 + i) % 4:
-                continue
-            cats, nums = facts.of(c)
-            for column, v in zip(got[c[2]], (i, c[:2], cats, nums, y, 4.0 if far else 1.0)):
+            if not far or not (c[0] * 31 + c[1] * 17 + i) % FAR:
+                use.append((c, far))
+        for (c, far), (cats, nums) in zip(use, facts[i % FOLDS].of(text, locale, [c for c, _ in use])):
+            for column, v in zip(got[c[2]], (i, c[:2], cats, nums, float(FAR) if far else 1.0)):
                 column.append(v)
-    return [(np.array(d), np.array(p), np.array(a), np.array(n, np.float32), np.array(y, np.float32), np.array(w, np.float32)) if d else None for d, p, a, n, y, w in got]
+            for k in GROUPS[c[2]]:
+                labels[k].append((c[0], c[1], k) in true)
+    out: list[tuple | None] = [None] * len(KINDS)
+    for g, (d, p, a, n, w) in got.items():
+        if d:
+            shared = np.array(d), np.array(p), _ids(a), np.array(n, np.float32)
+            for k in GROUPS[g]:
+                out[k] = (*shared, np.array(labels[k], np.float32), np.array(w, np.float32))
+    return out
 
 
 class _Table:
-    """All candidates of the labelled texts, by kind."""
+    """All proposals of the labelled texts, by kind."""
 
     def __init__(self, docs: list, lexicons: list[NameWords], spread):
         self.true = [[(s, e) for s, e, _ in spans] for _, _, spans in docs]
@@ -419,29 +518,13 @@ class _Table:
             own = [p[k] for p in parts if p[k]]
             self.kinds.append(tuple(np.concatenate(c) for c in zip(*own)) if own else None)
 
-    def encoder(self, without: int | None = None) -> Encoder:
-        own = [(k, t) for k, t in enumerate(self.kinds) if t]
-        width = max((t[2].shape[1] for _, t in own), default=1)
-        ids, ys, ks = [], [], []
-        for k, (doc, _, cats, _, y, _) in own:
-            keep = np.ones(len(doc), bool) if without is None else doc % FOLDS != without
-            pad = np.zeros((keep.sum(), width - cats.shape[1]), np.int64)
-            ids.append(np.hstack([cats[keep], pad]))
-            ys.append(y[keep])
-            ks.append(np.full(keep.sum(), k))
-        if not ids:
-            return Encoder(np.zeros((0, 1), np.int64), np.zeros(0), np.zeros(0))
-        return Encoder(np.vstack(ids), np.concatenate(ys), np.concatenate(ks))
+    def encoder(self, kind: int, without: int | None = None) -> Encoder:
+        doc, _, cats, _, y, _ = self.kinds[kind]
+        keep = np.ones(len(doc), bool) if without is None else doc % FOLDS != without
+        return Encoder(cats[keep], y[keep])
 
 
 FOLDS = 3
-#: Negatives a format or first word needs, and no positive, to be ruled out before its features are read.
-NEVER = 40
-
-
-def _never(ids: np.ndarray, y: np.ndarray, weight: np.ndarray) -> set[int]:
-    keys, at = np.unique(ids, return_inverse=True)
-    return set(keys[(np.bincount(at, weight * (1 - y)) >= NEVER) & (np.bincount(at, y) == 0)].tolist())
 
 
 def _apart(doc: np.ndarray, place: np.ndarray, margin: np.ndarray) -> list[int]:
@@ -473,7 +556,6 @@ def fit(docs: list[tuple[str, str, list[tuple[int, int, str]]]], spread=serially
     for round_no in range(2):
         # Each text sees the name words of the others, so that unknown names occur in training too.
         table = _Table(docs, [_lexicon([d for i, d in enumerate(docs) if i % FOLDS != k]) for k in range(FOLDS)], spread)
-        encs = [table.encoder(k) for k in range(FOLDS)]
         data = {}
         for kind, t in enumerate(table.kinds):
             if t and len(t[4]) >= 20 and t[4].sum() >= 5:
@@ -481,12 +563,12 @@ def fit(docs: list[tuple[str, str, list[tuple[int, int, str]]]], spread=serially
                 x = np.zeros((len(y), 2 * cats.shape[1] + nums.shape[1]), np.float32)
                 for k in range(FOLDS):
                     at = doc % FOLDS == k
-                    x[at] = np.hstack([encs[k].rates(kind, cats[at]), nums[at]])
+                    x[at] = np.hstack([table.encoder(kind, k).rates(cats[at]), nums[at]])
                 data[kind] = x, y, weight, doc % FOLDS
         # Gold is wrong in places, so leaves are large and steps are damped.
         params = {"depth": 4, "leaf": 12.0, "ridge": 6.0} | ({"trees": 50, "rate": 0.2} if round_no else {"trees": 25, "rate": 0.4})
-        # Names take many forms and contexts, so they get finer trees.
-        own = {kind: params | ({"leaf": 6.0, "ridge": 3.0, "depth": 5, "trees": params["trees"] * 3 // 2} if KINDS[kind] == "name" else {}) for kind in data}
+        # Names and identity numbers take many forms and contexts, so they get finer trees.
+        own = {kind: params | ({"leaf": 6.0, "ridge": 3.0, "depth": 5, "trees": params["trees"] * 3 // 2} if KINDS[kind] in ("name", "identity_number") else {}) for kind in data}
         jobs = [(kind, k, own[kind]) for kind in data for k in range(FOLDS)]
         if round_no:
             jobs += [(kind, None, own[kind]) for kind in data]
@@ -511,16 +593,17 @@ def fit(docs: list[tuple[str, str, list[tuple[int, int, str]]]], spread=serially
             model.thresholds[kind] = float((oof[order[best]] + after) / 2)
             if round_no:
                 model.trees[kind] = results[kind, None]
-                model.gates[kind] = _never(table.kinds[kind][2][:, 0 if kind in (1, 2) else 6], y, weight)
+                model.encoders[kind] = table.encoder(kind)
         if not round_no:
             docs = [d for i, d in enumerate(docs) if i not in suspect]
-    model.lexicon, model.encoder = _lexicon(docs), table.encoder()
+    model.lexicon = _lexicon(docs)
+    model.facts = Facts(model.lexicon)
     return model
 
 
 def trained(df: DataFrame, record: str, text: str, spans: str, locale: str, sample: int = SAMPLE_TEXTS) -> Model:
     """A model fitted on at most ``sample`` labelled texts, chosen by hash."""
-    rows = df.select(F.col(record).alias("record"), F.col(text).alias("text"), F.col(locale).alias("locale"), F.col(spans).alias("spans")).where("text IS NOT NULL AND spans IS NOT NULL AND length(text) < 20000")
+    rows = df.select(F.col(record).alias("record"), F.col(text).alias("text"), F.col(locale).alias("locale"), F.col(spans).alias("spans")).where("text IS NOT NULL AND spans IS NOT NULL")
     got = bounded_sample(rows, ["record", "text"], sample).collect()
     docs = [(r["text"], r["locale"] or "", g) for r in sorted(got, key=lambda r: (str(r["record"]), r["text"])) if (g := gold(r["text"], r["spans"])) is not None]
     return fit(docs, by_tasks(df.sparkSession))

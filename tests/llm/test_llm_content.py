@@ -165,3 +165,25 @@ def test_calibration_is_monotone():
     iso = Isotonic().fit(s, y)
     grid = iso.predict(np.linspace(-3, 3, 50))
     assert (np.diff(grid) >= 0).all() and abs(iso.predict(np.array([0.0]))[0] - 0.5) < 0.12
+
+
+def proposed(text):
+    return {(text[s:e], g) for s, e, g in P.candidates(text, P.NameWords({}))}
+
+
+def test_generators_reach_every_form():
+    t = "Home: 12 Mill Lane, Oakhaven, Suffolk. Ask Maria del Carmen García López, Ludwig van der Berg or J. R. R. Tolkien; Larchford, Alder N. has 5 5 5 0 1 2 3 4 9."
+    got = proposed(t)
+    assert {("12 Mill Lane, Oakhaven", 3), ("12 Mill Lane, Oakhaven, Suffolk", 3)} <= got
+    assert {(n, 4) for n in ("Maria del Carmen García López", "Ludwig van der Berg", "J. R. R. Tolkien", "Larchford, Alder N.", "López")} <= got
+    assert ("5 5 5 0 1 2 3 4 9", 1) in got
+    long = " ".join(f"N{'abcdefghij'[i % 10]}" for i in range(40))
+    assert (long, 4) in proposed(long)
+
+
+def test_long_labelled_texts_train_too(spark, letters):
+    rows = [(k, loc, "word " * 5000 + t, repr([{**g, "start": g["start"] + 25000, "end": g["end"] + 25000} for g in eval(s)])) for k, loc, t, s in letters[:60]]
+    df = spark.createDataFrame(rows, "doc_id string, locale string, text string, gold_spans string").repartition(4)
+    model = P.trained(df, "doc_id", "text", "gold_spans", "locale")
+    got = P.find_spans(df, "doc_id", "text", "locale", model).count()
+    assert got >= 0.9 * sum(len(P.gold(t, s)) for _, _, t, s in rows)
