@@ -18,7 +18,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-BROADCAST_ROWS = 200_000
+#: What may be broadcast: both are counted before.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 16 << 20
 HOT_ROWS = 500_000
 
 
@@ -62,16 +63,29 @@ def n_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def fits_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> bool:
+    """Whether ``df`` has at most ``rows`` rows and ``size`` bytes of values; reads no more than ``rows + 1`` rows."""
+    def width(c: str, kind: str) -> Column:
+        col = F.col(f"`{c}`")
+        if kind in ("string", "binary"):
+            return F.octet_length(col)
+        return F.octet_length(F.to_json(F.struct(col))) if kind.startswith(("array", "map", "struct")) else F.lit(8)
+
+    widths = [F.coalesce(width(c, kind), F.lit(8)).cast("long") for c, kind in df.dtypes]
+    n, used = df.limit(rows + 1).agg(F.count(F.lit(1)), F.coalesce(F.sum(sum(widths[1:], widths[0])), F.lit(0))).first()
+    return n <= rows and used <= size
+
+
 def lookup_join(big: DataFrame, small: DataFrame, key: str, how: str = "left", salt_from: Column | None = None,
                 weight: str | None = None, broadcast_rows: int = BROADCAST_ROWS, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Joins ``big`` to ``small``, which has one row per ``key``.
 
-    The small side is broadcast only if it has at most ``broadcast_rows`` rows (counted). Otherwise both sides
-    shuffle; if ``weight`` names a column of ``small`` with the number of big rows per key, keys above ``hot_rows``
-    are split over ``ceil(weight / hot_rows)`` salts (there are at most ``rows / hot_rows`` such keys, so their list
-    is bounded by design and broadcast), and ``salt_from`` spreads the big rows of a hot key.
+    The small side is broadcast only if it has at most ``broadcast_rows`` rows and BROADCAST_BYTES bytes (counted).
+    Otherwise both sides shuffle; if ``weight`` names a column of ``small`` with the number of big rows per key, keys
+    above ``hot_rows`` are split over ``ceil(weight / hot_rows)`` salts (there are at most ``rows / hot_rows`` such keys,
+    so their list is bounded by design and broadcast), and ``salt_from`` spreads the big rows of a hot key.
     """
-    if small.limit(broadcast_rows + 1).count() <= broadcast_rows:
+    if fits_broadcast(small, broadcast_rows):
         return big.join(F.broadcast(small), key, how)
     if weight is None or salt_from is None:
         return big.join(small, key, how)
@@ -82,21 +96,27 @@ def lookup_join(big: DataFrame, small: DataFrame, key: str, how: str = "left", s
     return big.join(small, [key, "_salt"], how).drop("_salt")
 
 
-def skew_join(left: DataFrame, right: DataFrame, key: str, spread: Column, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Inner join of many rows to many on ``key``. A key with more than ``hot_rows`` rows on the left is split over
-    several tasks: its left rows by a hash of ``spread``, its right rows repeated for each part.
+def skew_join(left: DataFrame, right: DataFrame, key: str, spread_left: Column, spread_right: Column, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Inner join of many rows to many on ``key``. A key with more than ``hot_rows`` rows on a side is split over several
+    tasks: that side's rows by a hash of its ``spread``, the other side's rows repeated for each part.
 
-    ``left`` is read twice, so give a materialized table. At most ``rows / hot_rows`` keys are hot, so their list is
+    Both tables are read twice, so give materialized ones. At most ``rows / hot_rows`` keys are hot, so their list is
     broadcast; without any the join is an ordinary one. Null keys match nothing.
     """
-    hot = left.groupBy(key).count().where((F.col("count") > hot_rows) & F.col(key).isNotNull()).select(key, F.ceil(F.col("count") / F.lit(hot_rows)).cast("int").alias("_parts"))
+    def heavy(df: DataFrame, name: str) -> DataFrame:
+        return df.groupBy(key).count().where((F.col("count") > hot_rows) & F.col(key).isNotNull()).select(key, F.ceil(F.col("count") / F.lit(hot_rows)).cast("int").alias(name))
+
+    hot = heavy(left, "_l").join(heavy(right, "_r"), key, "full")
     hot = left.sparkSession.createDataFrame(hot.collect(), hot.schema)
     if hot.isEmpty():
         return left.join(right, key)
-    parts = F.coalesce("_parts", F.lit(1))
-    left = left.join(F.broadcast(hot), key, "left").withColumn("_part", F.pmod(F.xxhash64(spread), parts.cast("long")).cast("int")).drop("_parts")
-    right = right.join(F.broadcast(hot), key, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_parts")
-    return left.join(right, [key, "_part"]).drop("_part")
+
+    def parted(df: DataFrame, own: str, other: str, spread: Column) -> DataFrame:
+        mine = F.pmod(F.xxhash64(spread), F.coalesce(own, F.lit(1)).cast("long")).cast("int")
+        out = df.join(F.broadcast(hot), key, "left").withColumn("_own", mine).withColumn("_other", F.explode(F.sequence(F.lit(0), F.coalesce(other, F.lit(1)) - 1)))
+        return out.withColumnRenamed("_own", f"_part{own}").withColumnRenamed("_other", f"_part{other}").drop("_l", "_r")
+
+    return parted(left, "_l", "_r", spread_left).join(parted(right, "_r", "_l", spread_right), [key, "_part_l", "_part_r"]).drop("_part_l", "_part_r")
 
 
 def prefix_sums(df: DataFrame, group: list[str], order: list[str], value: str, out: str = "before", parts: int | None = None) -> DataFrame:

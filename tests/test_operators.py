@@ -242,9 +242,17 @@ def test_skew_join_splits_hot_keys(spark):
     right = spark.createDataFrame([("hot", "a"), ("hot", "b"), ("cold", "c"), (None, "d"), ("alone", "e")], "k string, r string")
     want = sorted(map(tuple, left.join(right, "k").select("k", "i", "r").collect()))
     for hot in (10, 1000):
-        got = scale.skew_join(left, right, "k", F.col("i"), hot)
+        got = scale.skew_join(left, right, "k", F.col("i"), F.col("r"), hot)
         assert sorted(map(tuple, got.select("k", "i", "r").collect())) == want and len(want) == 123
-    assert scale.skew_join(left.limit(0), right, "k", F.col("i")).count() == 0
+    turned = scale.skew_join(right, left, "k", F.col("r"), F.col("i"), 10)
+    assert sorted(map(tuple, turned.select("k", "i", "r").collect())) == want
+    assert scale.skew_join(left.limit(0), right, "k", F.col("i"), F.col("r")).count() == 0
+
+
+def test_broadcast_is_bounded_in_rows_and_bytes(spark):
+    df = spark.createDataFrame([(i, "x" * 100, [1, 2]) for i in range(50)], "a long, b string, c array<int>")
+    assert scale.fits_broadcast(df, 50) and not scale.fits_broadcast(df, 49) and not scale.fits_broadcast(df, 50, 2000)
+    assert scale.fits_broadcast(df.limit(0))
 
 
 @pytest.mark.parametrize("conf,given,master,want", [("/shared/a", None, "spark://x", "/shared/a"), (None, "/shared/b", "spark://x", "/shared/b"), (None, None, "spark://x", None)])
