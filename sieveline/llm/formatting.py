@@ -1,7 +1,8 @@
 """Duplicates hidden by formatting differences.
 
-Dictionary encoding: a record is taken apart into field values, each distinct value is canonicalised once and gets an
-integer, records become sorted tuples of integers, and equal tuples are one group.
+Dictionary encoding: a record is taken apart into field values; each distinct raw value of the whole table is brought
+together in one task and canonicalised there, once; its canonical form gets an integer; records become sorted tuples of
+integers, and equal tuples are one group.
 """
 
 from __future__ import annotations
@@ -48,31 +49,54 @@ def canonical(field: int, value: str) -> str:
     return " ".join(RUN.findall(value))
 
 
-def _encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    known: dict[tuple[int, str], bytes | None] = {}
+def _digest(field: int, value: str) -> bytes:
+    return hashlib.md5(f"{field} {value}".encode("utf-8", "surrogatepass")).digest()
+
+
+def _split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(record, row, slot, raw) of all field values; ``row`` tells the texts of one id apart."""
     for pdf in batches:
-        records, rows, slots, digests = [], [], [], []
+        records, rows, slots, raws = [], [], [], []
         for record, code in zip(pdf["record"], pdf["code"]):
-            got = []
-            for field, raw in code_fields(code):
-                d = known.get((field, raw), b"")
-                if d == b"":
-                    text = canonical(field, raw)
-                    d = hashlib.md5(f"{field} {text}".encode("utf-8", "surrogatepass")).digest() if text or field == BODY else None
-                    if len(raw) < 400:
-                        if len(known) > 200_000:
-                            known.clear()
-                        known[field, raw] = d
-                if d is not None:
-                    got.append(d)
-            got.sort()
+            got = [_digest(field, raw) for field, raw in code_fields(code)]
             row = hashlib.md5(b"".join(got)).digest()[:8]
-            for i, d in enumerate(got):
-                records.append(record)
-                rows.append(row)
-                slots.append(i)
-                digests.append(d)
-        yield from frames({"record": records, "row": rows, "slot": slots, "digest": digests})
+            records += [record] * len(got)
+            rows += [row] * len(got)
+            slots += range(len(got))
+            raws += got
+        yield from frames({"record": records, "row": rows, "slot": slots, "raw": raws})
+
+
+def _values(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(raw, field, value): raw field values, each sent once by a task while it remembers having sent it."""
+    sent: set[bytes] = set()
+    for pdf in batches:
+        out: list[tuple[bytes, int, str]] = []
+        for code in pdf["code"]:
+            for field, value in code_fields(code):
+                d = _digest(field, value)
+                if d not in sent:
+                    if len(sent) > 1_000_000:
+                        sent.clear()
+                    sent.add(d)
+                    out.append((d, field, value))
+        if out:
+            yield from frames(dict(zip(("raw", "field", "value"), map(list, zip(*out)))), 2_000)
+
+
+def _canonicalise(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(raw, digest): the canonical form's digest, null for a header entry without any word. All copies of a value are in
+    one partition, so each is canonicalised once."""
+    done: set[bytes] = set()
+    for pdf in batches:
+        raws, digests = [], []
+        for raw, field, value in zip(pdf["raw"], pdf["field"], pdf["value"]):
+            if raw not in done:
+                done.add(raw)
+                text = canonical(field, value)
+                raws.append(raw)
+                digests.append(_digest(field, text) if text or field == BODY else None)
+        yield from frames({"raw": raws, "digest": digests})
 
 
 def format_groups(df: DataFrame, record: str, text: str) -> tuple[DataFrame, DataFrame]:
@@ -84,7 +108,12 @@ def format_groups(df: DataFrame, record: str, text: str) -> tuple[DataFrame, Dat
     """
     kind = dict(df.dtypes)[record]
     rows = df.select(F.col(record).alias("record"), F.col(text).cast("string").alias("code")).where("code IS NOT NULL AND record IS NOT NULL")
-    values = materialize(rows.mapInPandas(_encode, f"record {kind}, row binary, slot int, digest binary"), "values")
+    raw = materialize(rows.mapInPandas(_split, f"record {kind}, row binary, slot int, raw binary"), "raw")
+    # Only this shuffles texts, and each distinct value about once.
+    forms = materialize(rows.select("code").mapInPandas(_values, "raw binary, field int, value string").repartition("raw").mapInPandas(_canonicalise, "raw binary, digest binary").where("digest IS NOT NULL"), "forms")
+    uses = raw.groupBy("raw").agg(F.count(F.lit(1)).alias("uses"))
+    values = materialize(lookup_join(raw, materialize(forms.join(uses, "raw"), "weights"), "raw", "inner", F.col("record"), "uses").select("record", "row", "slot", "digest"), "values")
+    release(raw, forms)
     words = values.groupBy("digest").agg(F.count(F.lit(1)).alias("uses")).withColumn("one", F.lit(1)).withColumn("g", F.lit(0))
     coded = prefix_sums(words, ["g"], ["digest"], "one", "number").select("digest", "number", "uses")
     numbers = lookup_join(values, coded, "digest", "inner", F.col("record"), "uses")

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.scale import BROADCAST_ROWS, frames, lookup_join, materialize, most_used, release, skew_join
+from ..plans.scale import fits_broadcast, frames, lookup_join, materialize, most_used, release, skew_join
 from .overlap import COMMENT
 
 TOKEN = re.compile(r'"(?:[^"\\\n]|\\.)*"|\'(?:[^\'\\\n]|\\.)*\'|[^\W\d]\w*|\d\w*|->|[^\s\w]')
@@ -255,7 +255,7 @@ def _classes(df: DataFrame, common, name: str) -> DataFrame:
 
 def _profiled(df: DataFrame, ids: DataFrame, name: str) -> DataFrame:
     """Profiles of the records ``ids``; the ids are broadcast only while they are few (8 bytes each)."""
-    few = ids.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    few = fits_broadcast(ids)
     rows = df.select("record", "code").join(F.broadcast(ids) if few else ids, "record", "left_semi").dropDuplicates(["record"])
     return materialize(rows.mapInPandas(_profiles, "record long, statements array<long>, forms array<long>, names array<long>"), name)
 
@@ -279,7 +279,7 @@ def match_functions(left: DataFrame, right: DataFrame, left_cols: tuple[str, str
     ka = ca.select(F.col("record").alias("left_id"), F.col("name").alias("name_a"), F.explode("blocks").alias("block"))
     kb = cb.select(F.col("record").alias("right_id"), F.col("name").alias("name_b"), F.explode("blocks").alias("block"))
     named = (F.col("name_a") == F.col("name_b")).cast("int")
-    met = skew_join(ka, kb, "block", F.col("left_id")).groupBy("left_id", "right_id").agg(F.count(F.lit(1)).alias("shared"), F.coalesce(F.max(named), F.lit(0)).alias("c_function"))
+    met = skew_join(ka, kb, "block", F.col("left_id"), F.col("right_id")).groupBy("left_id", "right_id").agg(F.count(F.lit(1)).alias("shared"), F.coalesce(F.max(named), F.lit(0)).alias("c_function"))
     cand = materialize(met.where(F.col("shared") + F.col("c_function") >= 2).select("left_id", "right_id", "c_function"), "candidates")
     pa = _profiled(a, cand.select(F.col("left_id").alias("record")).distinct(), "left-profiles")
     pb = _profiled(b, cand.select(F.col("right_id").alias("record")).distinct(), "right-profiles")

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.scale import BROADCAST_ROWS, frames, materialize, most_used, release
+from ..plans.scale import fits_broadcast, frames, lookup_join, materialize, most_used, release, skew_join
 
 COMMENT = re.compile(r"/\*.*?(?:\*/|\Z)|//[^\n]*", re.S)
 RUN = re.compile(r"\w+")
@@ -122,15 +122,16 @@ def _contain(tokens: Callable, n: int, similarity: float) -> Callable:
     return run
 
 
-def cross_split_pairs(df: DataFrame, record: str, text: str, split: str, tokens: Callable[[str], list[str]] = words, n: int = 5, similarity: float = 0.8,
-                      train: str = "train", held_out: tuple[str, ...] = ("validation", "test")) -> DataFrame:
-    """(held_id, train_id, containment, alike): held-out and training records that have at least ``similarity`` of the
-    longer one's n-grams in common, counted with multiplicity; ``containment`` is the share of the held-out record's.
+def cross_split_classes(df: DataFrame, record: str, text: str, split: str, tokens: Callable[[str], list[str]] = words, n: int = 5, similarity: float = 0.8,
+                        train: str = "train", held_out: tuple[str, ...] = ("validation", "test")) -> tuple[DataFrame, DataFrame]:
+    """(links, members): links (key_e, key_t, containment, alike) between classes of exact copies, held-out and training,
+    that have at least ``similarity`` of the longer one's n-grams in common, counted with multiplicity; members (record,
+    held, key). ``containment`` is the share of the held-out record's n-grams.
 
-    Exact copies are joined once per class and listed for each member. Null texts are in no pair; texts without any
-    word are left out too, as they share nothing. Splits are compared without case and blanks; other splits, nulls
-    included, are ignored. Repeated ids give repeated pairs. Empty tables give an empty result. Other columns are
-    ignored. Texts are read whole; no number of partners or candidates is capped.
+    A class of copies on both sides is linked to itself. No group of copies is expanded into pairs. Null texts are in no
+    class; texts without any word are left out too, as they share nothing. Splits are compared without case and blanks;
+    other splits, nulls included, are ignored. Empty tables give empty results. Other columns are ignored. Texts are read
+    whole; no number of partners or candidates is capped.
     """
     kind = dict(df.dtypes)[record]
     side = F.lower(F.trim(F.col(split)))
@@ -146,25 +147,44 @@ def cross_split_pairs(df: DataFrame, record: str, text: str, split: str, tokens:
     held = classes.where("has_e").select(F.explode("grams").alias("gram"), F.col("class").alias("class_e"), F.col("size").alias("size_e"))
     trained = classes.where("NOT only_e").select(F.explode("grams").alias("gram"), F.col("class").alias("class_t"), F.col("size").alias("size_t"))
     near = F.least("size_e", "size_t") >= F.greatest("size_e", "size_t") * F.lit(similarity) - F.lit(1e-9)
-    hits = materialize(held.join(trained, "gram").where((F.col("class_e") != F.col("class_t")) & near).select("class_e", "class_t").distinct(), "hits")
+    met = skew_join(held, trained, "gram", F.col("class_e"), F.col("class_t"))
+    hits = materialize(met.where((F.col("class_e") != F.col("class_t")) & near).select("class_e", "class_t").distinct(), "hits")
     wanted = hits.select(F.col("class_e").alias("class")).unionByName(hits.select(F.col("class_t").alias("class"))).distinct()
     reps = materialize(classes.select("class", "key", F.col("rep").alias("record")).join(wanted, "class"), "reps")
     # Only texts of records in some candidate pair are shuffled.
-    few = reps.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    texts = materialize(rows.select("record", "text").join(F.broadcast(reps) if few else reps, "record").select("class", "key", "text"), "texts")
+    texts = materialize(rows.select("record", "text").join(F.broadcast(reps) if fits_broadcast(reps) else reps, "record").select("class", "key", "text"), "texts")
     pairs = hits.join(texts.toDF("class_e", "key_e", "text_e"), "class_e").join(texts.toDF("class_t", "key_t", "text_t"), "class_t")
     alike = pairs.select("key_e", "key_t", "text_e", "text_t").mapInPandas(_contain(tokens, n, similarity), "key_e binary, key_t binary, containment double, alike double").distinct()
     same = classes.where("has_e AND NOT only_e").select(F.col("key").alias("key_e"), F.col("key").alias("key_t"), F.lit(1.0).alias("containment"), F.lit(1.0).alias("alike"))
-    both = materialize(alike.unionByName(same), "alike")
-    release(hits, reps, texts, classes)
-    members = looked.select("record", "held", "key")
-    out = both.join(members.where("held").select(F.col("record").alias("held_id"), F.col("key").alias("key_e")), "key_e")
-    return out.join(members.where("NOT held").select(F.col("record").alias("train_id"), F.col("key").alias("key_t")), "key_t").select("held_id", "train_id", "containment", "alike")
-
-
-def overlap_report(df: DataFrame, record: str, text: str, split: str, source: str, pairs: DataFrame, held_out: tuple[str, ...] = ("validation", "test")) -> DataFrame:
-    """(split, source, held_records, overlapping, pairs) per held-out split and source as recorded; a null source is a source of its own."""
-    rows = df.select(F.col(record).alias("held_id"), F.lower(F.trim(F.col(split))).alias("split"), F.col(source).alias("source")).where(F.col("split").isin(*held_out))
-    hit = pairs.groupBy("held_id").agg(F.count(F.lit(1)).alias("n"))
-    return rows.join(hit, "held_id", "left").groupBy("split", "source").agg(
+    links = materialize(alike.unionByName(same), "alike")
+    members = materialize(looked.select("record", "held", "key"), "members")
+    release(looked, hits, reps, texts, classes)
+    return links, members
+
+
+def cross_split_pairs(links: DataFrame, members: DataFrame) -> DataFrame:
+    """(held_id, train_id, containment, alike): the links of ``cross_split_classes`` for each member. Repeated ids give
+    repeated pairs. Classes of many members are split over tasks."""
+    held = members.where("held").select(F.col("record").alias("held_id"), F.col("key").alias("key_e"))
+    trained = members.where("NOT held").select(F.col("record").alias("train_id"), F.col("key").alias("key_t"))
+    some = materialize(skew_join(held, links, "key_e", F.col("held_id"), F.col("key_t")).select("held_id", "key_t", "containment", "alike"), "some")
+    return skew_join(some, trained, "key_t", F.col("held_id"), F.col("train_id")).select("held_id", "train_id", "containment", "alike")
+
+
+def overlap_counts(links: DataFrame, members: DataFrame) -> DataFrame:
+    """(record, class_id, links): each held-out record of a linked class, the smallest id of its class, and the number of
+    training records it is alike to; no pair is expanded."""
+    classes = members.groupBy("key").agg(F.min("record").alias("class_id"), F.count(F.expr("CASE WHEN NOT held THEN 1 END")).alias("n"), F.count(F.expr("CASE WHEN held THEN 1 END")).alias("n_held"))
+    classes = materialize(classes, "sizes")
+    sizes = links.join(classes.select(F.col("key").alias("key_t"), "n"), "key_t").groupBy(F.col("key_e").alias("key")).agg(F.sum("n").cast("long").alias("links"))
+    sizes = materialize(sizes.join(classes.select("key", "class_id", "n_held"), "key"), "links")
+    return lookup_join(members.where("held").select("record", "key"), sizes, "key", "inner", F.col("record"), "n_held").select("record", "class_id", "links")
+
+
+def overlap_report(df: DataFrame, record: str, split: str, source: str, counts: DataFrame, held_out: tuple[str, ...] = ("validation", "test")) -> DataFrame:
+    """(split, source, held_records, overlapping, pairs) per held-out split and source as recorded, from
+    ``overlap_counts``; a null source is a source of its own."""
+    rows = df.select(F.col(record).alias("record"), F.lower(F.trim(F.col(split))).alias("split"), F.col(source).alias("source")).where(F.col("split").isin(*held_out))
+    hit = counts.groupBy("record").agg(F.sum("links").alias("n"))
+    return rows.join(hit, "record", "left").groupBy("split", "source").agg(
         F.count(F.lit(1)).alias("held_records"), F.count("n").alias("overlapping"), F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("pairs"))

@@ -117,7 +117,8 @@ def _numbers(text: str) -> Iterator[tuple[int, int]]:
 
 #: Words that begin in lower case and yet may begin an address.
 LOW_STARTS = ("flat", "apt", "unit", "the", "c/", "suite", "calle", "rue")
-PART = re.compile(rf"(?:\d+[A-Za-z]?|[^\W\d_][\w'’.-]*)(?:{S}(?:\d+[A-Za-z]?|(?:[dD]e|[dD]el|[lL]a|[lL]as|[dD]u|[dD]es|[vV]on|[aA]m|[zZ]ur|of|the)\b|[^\W\d_a-z][\w'’.-]*)){{0,5}}")
+_PLACE = r"(?:[^\W\d_][\w'’-]{0,3}\.|[^\W\d_][\w'’-]*)"
+PART = re.compile(rf"(?:\d+[A-Za-z]?|{_PLACE})(?:{S}(?:\d+[A-Za-z]?|(?:[dD]e|[dD]el|[lL]a|[lL]as|[dD]u|[dD]es|[vV]on|[aA]m|[zZ]ur|of|the)\b|(?![a-z]){_PLACE})){{0,5}}")
 BETWEEN = re.compile(rf"{S}?(?:,|{S}-){S}?(?:\r?\n)?|\r?\n")
 
 

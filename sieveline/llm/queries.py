@@ -25,17 +25,22 @@ def p1_splits(spark: SparkSession, d: str) -> DataFrame:
     return splits.group_splits(_table(spark, d, "codereview", "unique_id", "gold_source_project"), "unique_id", "gold_source_project", _table(spark, d, "project_aliases", "alias", "project"), SPLITS)
 
 
-def _pairs(spark: SparkSession, d: str) -> DataFrame:
-    return overlap.cross_split_pairs(_table(spark, d, "codereview", "unique_id", "code", "split"), "unique_id", "code", "split", overlap.code_runs, 1, 0.85)
+def _classes(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    return overlap.cross_split_classes(_table(spark, d, "codereview", "unique_id", "code", "split"), "unique_id", "code", "split", overlap.code_runs, 1, 0.85)
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    return _pairs(spark, d).select(F.least("held_id", "train_id").alias("id_a"), F.greatest("held_id", "train_id").alias("id_b"))
+    return overlap.cross_split_pairs(*_classes(spark, d)).select(F.least("held_id", "train_id").alias("id_a"), F.greatest("held_id", "train_id").alias("id_b"))
+
+
+def p3_classes(spark: SparkSession, d: str) -> DataFrame:
+    """One row per held-out fragment that is alike to training fragments: its class of copies and the number of them."""
+    return overlap.overlap_counts(*_classes(spark, d)).withColumnRenamed("record", "unique_id")
 
 
 def p3_report(spark: SparkSession, d: str) -> DataFrame:
     rows = _table(spark, d, "codereview", "unique_id", "split", "gold_source_project")
-    return overlap.overlap_report(rows, "unique_id", "code", "split", "gold_source_project", _pairs(spark, d)).withColumnRenamed("source", "gold_source_project")
+    return overlap.overlap_report(rows, "unique_id", "split", "gold_source_project", overlap.overlap_counts(*_classes(spark, d))).withColumnRenamed("source", "gold_source_project")
 
 
 def p4_links(spark: SparkSession, d: str) -> DataFrame:
@@ -110,7 +115,7 @@ def p8_rates(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_splits, p2_found, p2_redacted, p3_found, p3_report, p4_found, p4_links, p5_found, p5_collapsed, p6_containers, p6_fill, p7_mix, p7_shares, p7_shares_capped, p8_found, p8_scores, p8_rates)
+    f.__name__: f for f in (p1_found, p1_splits, p2_found, p2_redacted, p3_found, p3_classes, p3_report, p4_found, p4_links, p5_found, p5_collapsed, p6_containers, p6_fill, p7_mix, p7_shares, p7_shares_capped, p8_found, p8_scores, p8_rates)
 }
 
 _KEY = r"""
@@ -142,6 +147,9 @@ rows AS (SELECT unique_id, split, {_KEY.format('gold_source_project')} AS k FROM
 named AS (SELECT unique_id, split, coalesce(c, k) AS c FROM rows LEFT JOIN comp ON k = a WHERE k <> '')
 SELECT unique_id FROM named WHERE split IN ('validation', 'test') AND c IN (SELECT c FROM named WHERE split = 'train')""",
     "p3_found": f"{_PAIRS} SELECT least(held_id, train_id) AS id_a, greatest(held_id, train_id) AS id_b FROM pairs",
+    "p3_classes": rf"""{_PAIRS}, bags AS (SELECT unique_id, split, md5(coalesce(string_agg(w || ' ' || n::VARCHAR, ',' ORDER BY w), '')) AS k FROM uses WHERE split IN ('train', 'validation', 'test') GROUP BY 1, 2),
+classes AS (SELECT k, min(unique_id) AS class_id FROM bags GROUP BY 1)
+SELECT p.held_id AS unique_id, c.class_id, count(*) AS links FROM pairs p JOIN bags b ON b.unique_id = p.held_id JOIN classes c USING (k) GROUP BY ALL""",
     "p3_report": f"""{_PAIRS}, hit AS (SELECT held_id, count(*) AS n FROM pairs GROUP BY 1)
 SELECT split, gold_source_project, count(*) AS held_records, count(n) AS overlapping, coalesce(sum(n), 0)::BIGINT AS pairs FROM codereview LEFT JOIN hit ON held_id = unique_id WHERE split IN ('validation', 'test') GROUP BY ALL""",
     "p5_found": f"{_COPIES} SELECT keep_id, unique_id AS copy_id FROM keyed JOIN kept USING (k) WHERE unique_id <> keep_id",

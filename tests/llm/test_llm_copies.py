@@ -58,7 +58,7 @@ def test_cross_split_pairs_against_brute_force(spark, n, similarity):
         data.append((i, " ".join(t), random.choice(["train", "test", "validation", "other", None])))
     data += [(900, None, "train"), (901, "", "test"), (902, "", "train"), (903, "...", "test"), (904, "hot " * 30, "train"), (905, "HOT " * 30, "test"), (906, "hot " * 30, "test")]
     df = spark.createDataFrame(data, "id long, text string, split string").repartition(4)
-    got = [(r.held_id, r.train_id) for r in O.cross_split_pairs(df, "id", "text", "split", O.words, n, similarity).collect()]
+    got = [(r.held_id, r.train_id) for r in O.cross_split_pairs(*O.cross_split_classes(df, "id", "text", "split", O.words, n, similarity)).collect()]
     assert len(got) == len(set(got)) and set(got) == brute(data, similarity, O.words, n)
 
 
@@ -66,9 +66,25 @@ def test_code_runs_ignore_comments():
     assert O.code_runs("a /* b */ c // d\n E_1") == ["a", "c", "e_1"]
 
 
+def test_classes_count_links_without_pairs(spark):
+    data = [(i, "a b c d e f g h i j", "test") for i in range(40)] + [(100 + i, "A b c  d e f g h i j", "train") for i in range(50)] + [(200, "a b c d e f g h i k", "train"), (300, "z", "test")]
+    df = spark.createDataFrame(data, "id long, text string, split string")
+    links, members = O.cross_split_classes(df, "id", "text", "split", O.words, 1, 0.85)
+    assert links.count() == 2 and members.count() == 92
+    assert sorted(rows(O.overlap_counts(links, members))) == [(i, 0, 51) for i in range(40)]
+    assert O.cross_split_pairs(links, members).count() == 40 * 51
+
+
 def test_overlap_report(spark):
     df = spark.createDataFrame([(1, "a b c", "train", "x"), (2, "A b  c", "test", None), (3, "q r", "test", "x")], "id long, text string, split string, src string")
-    pairs = O.cross_split_pairs(df, "id", "text", "split", O.words, 1, 0.85)
-    got = {(r.split, r.source): (r.held_records, r.overlapping, r.pairs) for r in O.overlap_report(df, "id", "text", "split", "src", pairs).collect()}
+    counts = O.overlap_counts(*O.cross_split_classes(df, "id", "text", "split", O.words, 1, 0.85))
+    got = {(r.split, r.source): (r.held_records, r.overlapping, r.pairs) for r in O.overlap_report(df, "id", "split", "src", counts).collect()}
     assert got == {("test", None): (1, 1, 1), ("test", "x"): (1, 0, 0)}
-    assert rows(O.cross_split_pairs(df.limit(0), "id", "text", "split", O.words)) == []
+    assert rows(O.cross_split_pairs(*O.cross_split_classes(df.limit(0), "id", "text", "split", O.words))) == []
+
+
+def test_each_distinct_value_is_canonicalised_once(spark, monkeypatch, tmp_path):
+    df = spark.createDataFrame([(i, HEAD + BODY) for i in range(30)] + [(99, HEAD + BODY.upper())], "id long, code string").repartition(6)
+    values = df.select("code").mapInPandas(D._values, "raw binary, field int, value string").repartition("raw").mapInPandas(D._canonicalise, "raw binary, digest binary")
+    got = rows(values)
+    assert len(got) == len({r[0] for r in got}) and len({bytes(r[1]) for r in got if r[1]}) < len(got)
