@@ -183,6 +183,12 @@ class Batch:
         self.pairs, self.pair_sentence = two[inside], self.sentence[:-1][inside]
         self.x = self._dense(np.array(marks, np.float32).reshape(-1, 4), list(vocabulary.lexicons))
 
+    def slim(self) -> Batch:
+        """Without what only scoring needs, to be sent to tasks."""
+        self.sentence, self.pair_sentence = self.sentence.astype(np.int32), self.pair_sentence.astype(np.int32)
+        self.ids = self.facts = self.hashes = self.pairs = None
+        return self
+
     def sums(self, values: np.ndarray) -> np.ndarray:
         return np.add.reduceat(values, self.starts, axis=0) if len(self.starts) else np.zeros((0, *values.shape[1:]), np.float32)
 
@@ -278,9 +284,9 @@ class Grams:
     def __init__(self, b: Batch):
         sentence = np.concatenate([b.sentence, b.pair_sentence])
         self.keys, code = np.unique(np.concatenate([b.hashes, b.pairs]), return_inverse=True)
-        self.word, self.pair = code[: len(b.hashes)], code[len(b.hashes) :]
+        self.word, self.pair = code[: len(b.hashes)].astype(np.int32), code[len(b.hashes) :].astype(np.int32)
         k = max(1, len(self.keys))
-        self.sentence, self.doc = (np.divmod(np.unique(unit * k + code), k) for unit in (sentence, b.owner[sentence]))
+        self.sentence, self.doc = (tuple(part.astype(np.int32) for part in np.divmod(np.unique(unit * k + code), k)) for unit in (sentence, b.owner[sentence]))
 
     def odds(self, units: tuple[np.ndarray, np.ndarray], positive: np.ndarray, negative: np.ndarray) -> np.ndarray:
         """Of each gram; the weights tell which units count. A word of one positive speaks for nothing."""
@@ -423,7 +429,7 @@ def fit(texts: list[str], labels: np.ndarray, lexicons: dict[str, str] | None =
     model.vocabulary = Vocabulary(lexicons, frozenset(w for w, n in seen.items() if n > 1))
     b = Batch(texts, model.vocabulary)
     grams = Grams(b)
-    *folds, whole = spread(_job, (b, grams, labels, kinds), [*range(FOLDS), None])
+    *folds, whole = spread(_job, (b.slim(), grams, labels, kinds), [*range(FOLDS), None])
     nothing = np.zeros(len(grams.keys), np.float32)
     model.odds = Odds(grams.keys, np.column_stack([o for k in range(3) for o in (whole[k][0] if k in whole else (nothing, nothing))]))
     for k in whole:
