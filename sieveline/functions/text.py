@@ -79,9 +79,21 @@ def snippet(text: Column, start: Column, end: Column, around: int) -> Column:
     return F.substr(text, low + 1, end + around - low)
 
 
+def occurrences(text: Column, needle: Column) -> Column:
+    """(start, end) of every place where ``needle`` stands in ``text`` as a word of its own, 0-based and half-open; none for
+    an empty needle, null for a null one or a null text."""
+    parts = F.split(text, F.concat(F.lit("\\Q"), F.replace(needle, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E")), -1)
+    size = F.length(needle)
+    ends = F.transform(F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0))), lambda x, i: F.aggregate(F.slice(parts, F.lit(1), i + 1), F.lit(0), lambda n, p: n + F.length(p)) + i * size)
+    free = lambda s: ~F.substr(text, s, F.when(s > 0, 1).otherwise(0)).rlike(r"(?U)\w") & ~F.substr(text, s + size + 1, F.lit(1)).rlike(r"(?U)\w")
+    at = F.transform(F.filter(ends, free), lambda s: F.struct(s.cast("long").alias("start"), (s + size).cast("long").alias("end")))
+    return F.when(size > 0, at).when(size == 0, F.slice(at, 1, 0))
+
+
 def extract_json(c: Column) -> Column:
-    """The object in a model's answer: without fences, from the first to the last brace."""
-    return F.nullif(F.regexp_extract(c, r"(?s)(\{.*\})", 1), F.lit(""))
+    """The object in a model's answer: without fences, from the first to the last brace; null if that is no JSON."""
+    got = F.nullif(F.regexp_extract(c, r"(?s)(\{.*\})", 1), F.lit(""))
+    return F.when(F.try_parse_json(got).isNotNull(), got)
 
 
 def cell(c: Column, kind: str) -> Column:

@@ -233,11 +233,21 @@ def C12_seeded_control(spark, d):
     return gold(spark, d).where("y = 1").select("unique_id", F.element_at(F.array(*map(F.lit, triage.CLUSTER)), (1 + h % 5).cast("int")).alias("control"))
 
 
-@query(r"""WITH t AS (SELECT doc_id, unnest(regexp_extract_all(text, '\b[0-9]{1,4}[-/.][0-9]{1,2}[-/.][0-9]{1,4}\b')) AS v FROM pii), p AS (SELECT v, coalesce(try_strptime(v, '%Y-%m-%d'), try_strptime(v, '%d/%m/%Y'), try_strptime(v, '%d.%m.%Y')) AS dt FROM t) SELECT dt::DATE::VARCHAR AS day, (dt + INTERVAL 100 DAY)::DATE::VARCHAR AS moved, count(*) AS n FROM p WHERE length(v) = 10 GROUP BY ALL""")
+#: Date forms in the order they are tried, as SQL and Spark spell them.
+DATE_FORMS = [("%Y-%m-%d", "yyyy-M-d"), ("%m/%d/%Y", "M/d/yyyy"), ("%d/%m/%Y", "d/M/yyyy"), ("%m-%d-%Y", "M-d-yyyy"), ("%d-%m-%Y", "d-M-yyyy"), ("%d.%m.%Y", "d.M.yyyy"), ("%B %d, %Y", "MMMM d, yyyy"), ("%d %B %Y", "d MMMM yyyy"),
+              ("%b %d, %Y", "MMM d, yyyy"), ("%d %b %Y", "d MMM yyyy")]
+DATE_LIKE = r"\b(?:[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}|[0-9]{1,2}[/.][0-9]{1,2}[/.][0-9]{4}|[0-9]{1,2}-[0-9]{1,2}-[0-9]{4}|[A-Z][a-z]{2,8} [0-9]{1,2}, [0-9]{4}|[0-9]{1,2} [A-Z][a-z]{2,8} [0-9]{4})\b"
+
+
+@query(f"""WITH t AS (SELECT doc_id, ('0x' || substr(md5('shift:' || doc_id), 1, 6))::BIGINT % 3651 AS days, unnest(regexp_extract_all(text, '{DATE_LIKE}')) AS v FROM pii),
+p AS (SELECT doc_id, days, v, coalesce({', '.join(f"try_strptime(v, '{f}')" for f, _ in DATE_FORMS)}) AS dt FROM t)
+SELECT doc_id, v AS written, dt::DATE::VARCHAR AS day, (dt + to_days(days::INTEGER))::DATE::VARCHAR AS moved, count(*) AS n FROM p GROUP BY ALL""")
 def D01_D02_dates(spark, d):
-    found = table(spark, d, "pii", "text").select(F.explode(F.regexp_extract_all("text", F.lit(r"\b[0-9]{1,4}[-/.][0-9]{1,2}[-/.][0-9]{1,4}\b"), F.lit(0))).alias("v")).where("length(v) = 10")
-    at = F.coalesce(*[F.try_to_timestamp("v", F.lit(f)) for f in ("yyyy-MM-dd", "dd/MM/yyyy", "dd.MM.yyyy")]).cast("date")
-    return found.groupBy(at.cast("string").alias("day"), F.date_add(at, 100).cast("string").alias("moved")).agg(F.count(F.lit(1)).alias("n"))
+    """Every date of ten forms, and where the document's own shift moves it; what no form fits has no day."""
+    shift = F.conv(F.substring(F.md5(F.concat(F.lit("shift:"), "doc_id")), 1, 6), 16, 10).cast("long") % 3651
+    found = table(spark, d, "pii", "doc_id", "text").select("doc_id", shift.cast("int").alias("days"), F.explode(F.regexp_extract_all("text", F.lit(DATE_LIKE), F.lit(0))).alias("written"))
+    at = F.coalesce(*[F.try_to_timestamp("written", F.lit(f)) for _, f in DATE_FORMS]).cast("date")
+    return found.groupBy("doc_id", "written", at.cast("string").alias("day"), F.date_add(at, F.col("days")).cast("string").alias("moved")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(r"""WITH m AS (SELECT doc_id, instr(text, 'filter') - 1 AS p, text FROM documents WHERE contains(text, 'filter')) SELECT doc_id, p AS "at", substr(text, greatest(p - 20, 0) + 1, p + 6 + 20 - greatest(p - 20, 0)) AS around FROM m""")
@@ -246,6 +256,15 @@ def F05_F06_snippets(spark, d):
     return table(spark, d, "documents", "doc_id", "text").where(F.contains("text", F.lit("filter"))).select("doc_id", at.cast("long").alias("at"), T.snippet(F.col("text"), at, at + 6, 20).alias("around"))
 
 
+@query(r"""WITH p AS (SELECT doc_id, text, project AS needle, string_split(text, project) AS parts FROM documents WHERE text IS NOT NULL AND project <> ''),
+o AS (SELECT doc_id, text, needle, unnest(list_transform(range(1, len(parts)), lambda i: list_sum(list_transform(parts[1:i], lambda x: length(x))) + (i - 1) * length(needle)))::BIGINT AS s FROM p)
+SELECT doc_id, needle, s AS "start", s + length(needle) AS "end" FROM o WHERE NOT regexp_matches(substr(text, s::INT, CASE WHEN s > 0 THEN 1 ELSE 0 END), '\w') AND NOT regexp_matches(substr(text, (s + length(needle) + 1)::INT, 1), '\w')""")
+def F05_occurrences(spark, d):
+    """Every place where a document names its project as a word of its own."""
+    rows = table(spark, d, "documents", "doc_id", "text", "project").select("doc_id", F.col("project").alias("needle"), F.explode(T.occurrences(F.col("text"), F.col("project"))).alias("at"))
+    return rows.select("doc_id", "needle", "at.start", "at.end")
+
+
 @query("SELECT vec_id, round(list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding FROM embeddings WHERE vec_id = (SELECT min(vec_id) FROM embeddings))::DOUBLE[]), 5) AS cosine FROM embeddings")
 def M05_cosine(spark, d):
     e = table(spark, d, "embeddings", "vec_id", "embedding")
@@ -306,8 +325,13 @@ def G06_boosted(spark, d):
 
 @query()
 def G11_held_out_project(spark, d):
-    rows = gold(spark, d, "code", "gold_source_project").where("y IS NOT NULL").withColumn("group", F.when(F.col("gold_source_project") == "galtagate", "galtagate").otherwise("rest"))
-    return models.held_out_group(rows, "code", "y", "group", "galtagate", code=True, rounds=10)
+    """The project with the most rows, under whatever spelling, by a model that saw none of them."""
+    rows = gold(spark, d, "code", "gold_source_project").where("y IS NOT NULL")
+    path = F.regexp_replace(F.lower(F.regexp_replace("gold_source_project", r"\s+", "")), r"(\.git)?/*$", "")
+    rows = rows.withColumn("group", F.nullif(F.regexp_replace(F.regexp_extract(path, r"([^/\\:]*)$", 1), r"[-_.]+", ""), F.lit("")))
+    named = rows.where(F.col("group").isNotNull() & ~F.col("group").isin("unknown", "none", "null", "n/a", "na", "nan", "?", "tbd"))
+    largest = named.groupBy("group").count().orderBy(F.desc("count"), "group").first()
+    return models.held_out_group(rows, "code", "y", "group", largest["group"] if largest else "", code=True)
 
 
 @query()

@@ -68,7 +68,9 @@ def sarif_hits(df: DataFrame, key: str, sarif: str) -> DataFrame:
 
 def gold_spans(df: DataFrame, key: str, spans: str) -> DataFrame:
     """(key, n, span_start, span_end, label) of spans kept as the text of a list of dictionaries, without leaving the JVM."""
-    part = lambda p: F.regexp_extract_all(spans, F.lit(p), F.lit(1))
-    zipped = F.arrays_zip(part(r"\{'start': (\d+), 'end': \d+, 'text': ").alias("s"), part(r"\{'start': \d+, 'end': (\d+), 'text': ").alias("e"), part(r", 'label': '(\w+)'\}").alias("l"))
-    out = df.where(F.col(spans).isNotNull()).select(key, F.posexplode(zipped).alias("n", "x"))
-    return out.select(key, "n", F.col("x.s").cast("int").alias("span_start"), F.col("x.e").cast("int").alias("span_end"), F.col("x.l").alias("label"))
+    # One match holds a whole span, so a text that looks like a span cannot shift the values of others.
+    whole = F.regexp_extract_all(spans, F.lit(r"(?s)\{'start': \d+, 'end': \d+, 'text': .*?, 'label': '\w+'\}"), F.lit(0))
+    part = lambda p, g=1: F.regexp_extract("x", p, g)
+    out = df.where(F.col(spans).isNotNull()).select(key, F.posexplode(whole).alias("n", "x"))
+    head = r"^\{'start': (\d+), 'end': (\d+)"
+    return out.select(key, "n", part(head, 1).cast("int").alias("span_start"), part(head, 2).cast("int").alias("span_end"), part(r"'label': '(\w+)'\}$").alias("label"))

@@ -265,3 +265,22 @@ def test_shared_dir_of_a_cluster_is_never_a_temporary_one(conf, given, master, w
     else:
         with pytest.raises(RuntimeError):
             scale.shared_dir(session)
+
+
+def test_occurrences_are_words_of_their_own(spark):
+    df = spark.createDataFrame([("Ann met Ann-Marie, Annika and ann; Ann", "Ann"), ("a.b axb a.b", "a.b"), ("x", ""), (None, "x"), ("x", None), ("C:\\E d \\E", "\\E")], "t string, n string")
+    got = [None if r.o is None else [tuple(x) for x in r.o] for r in df.select(T.occurrences(F.col("t"), F.col("n")).alias("o")).collect()]
+    assert got[:5] == [[(0, 3), (8, 11), (35, 38)], [(0, 3), (8, 11)], [], None, None]
+    assert got[5] == [(2, 4), (7, 9)]
+
+
+def test_an_object_must_be_json(spark):
+    df = spark.createDataFrame([('so {"a": 1} there',), ("{no json}",), ("none",), (None,)], "t string")
+    assert [r.o for r in df.select(T.extract_json(F.col("t")).alias("o")).collect()] == ['{"a": 1}', None, None, None]
+
+
+def test_a_span_text_that_looks_like_a_span_shifts_nothing(spark):
+    inner = "{'start': 1, 'end': 2, 'text': "
+    spans = repr([{"start": 0, "end": 9, "text": inner, "label": "email"}, {"start": 10, "end": 12, "text": "x", "label": "name"}])
+    df = spark.createDataFrame([(1, spans)], "id int, s string")
+    assert [tuple(r) for r in readers.gold_spans(df, "id", "s").collect()] == [(1, 0, 0, 9, "email"), (1, 1, 10, 12, "name")]
