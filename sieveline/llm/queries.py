@@ -4,15 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.scale import materialize
 from . import abuse, formatting, linkage, mixing, overlap, packing, pii, splits
 
 SPLITS = {"train": 0.8, "validation": 0.1, "test": 0.1}
 
 
-def _table(spark: SparkSession, d: str, name: str, *columns: str) -> DataFrame:
+def _table(spark: SparkSession, d: str, name: str, *columns: str | Column) -> DataFrame:
     t = spark.read.parquet(f"{d}/{name}.parquet")
     return t.select(*columns) if columns else t
 
@@ -114,8 +115,65 @@ def p8_rates(spark: SparkSession, d: str) -> DataFrame:
     return abuse.rates(_scored(spark, d))
 
 
+def _bad(condition: Column) -> Column:
+    return F.coalesce(F.sum(F.when(condition, 1).otherwise(0)), F.lit(0)).cast("long")
+
+
+def p1_check(spark: SparkSession, d: str) -> DataFrame:
+    """Of the new splits: records, entities torn between splits, splits more than 2 % of all records off their target."""
+    got = materialize(p1_splits(spark, d), "splits")
+    torn = got.where("group_key IS NOT NULL").groupBy("group_key").agg(F.count_distinct("new_split").alias("n")).agg(_bad(F.col("n") > 1).alias("torn_entities"))
+    sizes = got.groupBy("new_split").agg(F.count(F.lit(1)).alias("n"))
+    off = sizes.join(F.broadcast(sizes.agg(F.sum("n").alias("records"))), F.lit(True))
+    target = F.create_map(*[F.lit(x) for kv in SPLITS.items() for x in kv])
+    off = off.groupBy("records").agg(_bad(F.abs(F.col("n") / F.col("records") - F.try_element_at(target, F.col("new_split"))) > 0.02).alias("splits_off_target"))
+    return off.join(F.broadcast(torn), F.lit(True)).select("records", "torn_entities", "splits_off_target")
+
+
+def p2_check(spark: SparkSession, d: str) -> DataFrame:
+    """Of the redaction: documents, spans outside their text, spans that overlap, texts changed outside their spans."""
+    table = _table(spark, d, "pii", "doc_id", "locale", "text", "gold_spans")
+    model = pii.trained(table, "doc_id", "text", "gold_spans", "locale")
+    span = F.struct("span_start", "span_end", "kind")
+    spans = pii.find_spans(table, "doc_id", "text", "locale", model).groupBy("doc_id").agg(F.array_sort(F.collect_list(span)).alias("spans"))
+    rows = table.select("doc_id", "text").join(spans, "doc_id", "left").join(pii.redact(table, "doc_id", "text", "locale", model), "doc_id")
+    rows = rows.withColumn("spans", F.coalesce("spans", F.array().cast("array<struct<span_start:int,span_end:int,kind:string>>")))
+    state = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    made = F.aggregate("spans", state, lambda a, x: F.struct(x["span_end"].alias("at"), F.concat(a["out"], F.substr("text", a["at"] + 1, x["span_start"] - a["at"]), F.lit("["), F.upper(x["kind"]), F.lit("]")).alias("out")))
+    want = F.concat(made["out"], F.substr("text", made["at"] + 1, F.length("text")))
+    outside = F.exists("spans", lambda x: (x["span_start"] < 0) | (x["span_end"] > F.length("text")) | (x["span_start"] >= x["span_end"]))
+    follows = lambda i: F.coalesce(F.try_element_at("spans", i)["span_end"] > F.try_element_at("spans", i + 1)["span_start"], F.lit(False))
+    overlap = F.exists(F.sequence(F.lit(1), F.greatest(F.size("spans"), F.lit(1))), follows)
+    return rows.agg(F.count(F.lit(1)).alias("documents"), _bad(outside).alias("outside"), _bad(overlap).alias("overlapping"), _bad(~want.eqNullSafe(F.col("redacted"))).alias("changed_elsewhere"))
+
+
+def p6_check(spark: SparkSession, d: str) -> DataFrame:
+    """By kind of container: documents packed, containers over their capacity, texts cut that would fit, pieces not in a row."""
+    caps = _table(spark, d, "pack_capacities").select("container_kind", F.col("capacity_tokens").cast("long").alias("room"))
+    packed = materialize(p6_containers(spark, d), "packed")
+    full = packed.groupBy("container_kind", "container_id").agg(F.sum("n_tokens").alias("used")).join(F.broadcast(caps), "container_kind").groupBy("container_kind").agg(_bad(F.col("used") > F.col("room")).alias("overfull"))
+    texts = packed.groupBy("container_kind", "doc_id").agg(F.sum("n_tokens").alias("tokens"), F.count(F.lit(1)).alias("pieces"), F.max(F.col("start_token") + F.col("n_tokens")).alias("end")).join(F.broadcast(caps), "container_kind")
+    texts = texts.groupBy("container_kind").agg(F.count(F.lit(1)).alias("documents"), _bad((F.col("pieces") > 1) & (F.col("tokens") <= F.col("room"))).alias("cut_needlessly"), _bad(F.col("tokens") != F.col("end")).alias("broken"))
+    return texts.join(full, "container_kind").select("container_kind", "documents", "overfull", "cut_needlessly", "broken")
+
+
+def p7_check(spark: SparkSession, d: str) -> DataFrame:
+    """By target source: records used more often than they may, records of other sources, tokens beyond the budget."""
+    chosen, shares = _mix(spark, d, 1.0)
+    docs = _table(spark, d, "documents", "doc_id", F.col("source").alias("recorded"))
+    used = chosen.join(docs, "doc_id").join(F.broadcast(_table(spark, d, "mix_targets", "source", "max_repeats")), "source", "left")
+    used = used.groupBy("source").agg(_bad(F.col("repeats") > F.col("max_repeats")).alias("repeated_too_often"), _bad(F.lower(F.trim("recorded")) != F.lower(F.trim("source"))).alias("of_other_sources"))
+    out = shares.select("source", (F.col("tokens") > F.col("budget_tokens")).cast("long").alias("over_budget")).join(F.broadcast(used), "source", "left")
+    return out.select("source", F.coalesce("repeated_too_often", F.lit(0)).alias("repeated_too_often"), F.coalesce("of_other_sources", F.lit(0)).alias("of_other_sources"), "over_budget")
+
+
+def p8_check(spark: SparkSession, d: str) -> DataFrame:
+    """By source as recorded: documents, and rates that are none."""
+    return p8_rates(spark, d).select("source", "documents", sum((F.when(F.col(f"{k}_rate").between(0, 1) & F.col(f"{k}_mean").between(0, 1), 0).otherwise(1) for k in abuse.KINDS), F.lit(0)).cast("long").alias("no_rates"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_splits, p2_found, p2_redacted, p3_found, p3_classes, p3_report, p4_found, p4_links, p5_found, p5_collapsed, p6_containers, p6_fill, p7_mix, p7_shares, p7_shares_capped, p8_found, p8_scores, p8_rates)
+    f.__name__: f for f in (p1_found, p1_splits, p2_found, p2_redacted, p3_found, p3_classes, p3_report, p4_found, p4_links, p5_found, p5_collapsed, p6_containers, p6_fill, p7_mix, p7_shares, p7_shares_capped, p8_found, p8_scores, p8_rates, p1_check, p2_check, p6_check, p7_check, p8_check)
 }
 
 _KEY = r"""
@@ -154,4 +212,10 @@ SELECT p.held_id AS unique_id, c.class_id, count(*) AS links FROM pairs p JOIN b
 SELECT split, gold_source_project, count(*) AS held_records, count(n) AS overlapping, coalesce(sum(n), 0)::BIGINT AS pairs FROM codereview LEFT JOIN hit ON held_id = unique_id WHERE split IN ('validation', 'test') GROUP BY ALL""",
     "p5_found": f"{_COPIES} SELECT keep_id, unique_id AS copy_id FROM keyed JOIN kept USING (k) WHERE unique_id <> keep_id",
     "p5_collapsed": f"{_COPIES} SELECT keep_id, copies FROM kept",
+    # What holds of any right result, whatever models were fitted and however ties fell.
+    "p1_check": "SELECT count(*) AS records, 0::BIGINT AS torn_entities, 0::BIGINT AS splits_off_target FROM codereview",
+    "p2_check": "SELECT count(*) AS documents, 0::BIGINT AS outside, 0::BIGINT AS overlapping, 0::BIGINT AS changed_elsewhere FROM pii",
+    "p6_check": "SELECT container_kind, (SELECT count(*) FROM documents) AS documents, 0::BIGINT AS overfull, 0::BIGINT AS cut_needlessly, 0::BIGINT AS broken FROM pack_capacities",
+    "p7_check": "SELECT source, 0::BIGINT AS repeated_too_often, 0::BIGINT AS of_other_sources, 0::BIGINT AS over_budget FROM mix_targets",
+    "p8_check": "SELECT source, count(*) AS documents, 0::BIGINT AS no_rates FROM documents GROUP BY 1",
 }
