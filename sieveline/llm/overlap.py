@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.scale import fits_broadcast, frames, lookup_join, materialize, most_used, release, skew_join
+from ..plans.scale import HOT_ROWS, fits_broadcast, frames, lookup_join, materialize, most_used, release, skew_join
 
 COMMENT = re.compile(r"/\*.*?(?:\*/|\Z)|//[^\n]*", re.S)
 RUN = re.compile(r"\w+")
@@ -124,9 +124,10 @@ def _contain(tokens: Callable, n: int, similarity: float) -> Callable:
 
 def cross_split_classes(df: DataFrame, record: str, text: str, split: str, tokens: Callable[[str], list[str]] = words, n: int = 5, similarity: float = 0.8,
                         train: str = "train", held_out: tuple[str, ...] = ("validation", "test")) -> tuple[DataFrame, DataFrame]:
-    """(links, members): links (key_e, key_t, containment, alike) between classes of exact copies, held-out and training,
+    """(links, members): links (key_e, key_t, containment, alike, largest) between classes of exact copies, held-out and training,
     that have at least ``similarity`` of the longer one's n-grams in common, counted with multiplicity; members (record,
-    held, key). ``containment`` is the share of the held-out record's n-grams.
+    held, key). ``containment`` is the share of the held-out record's n-grams, ``largest`` the
+    size of the largest class of all.
 
     A class of copies on both sides is linked to itself. No group of copies is expanded into pairs. Null texts are in no
     class; texts without any word are left out too, as they share nothing. Splits are compared without case and blanks;
@@ -140,14 +141,16 @@ def cross_split_classes(df: DataFrame, record: str, text: str, split: str, token
     spark = df.sparkSession
     counts = rows.select("text").mapInPandas(_counts(tokens, n), "gram long, uses long").groupBy("gram").agg(F.sum("uses").alias("uses"))
     # At most COMMON_NGRAMS rows reach the driver; any order gives the same result, this one few candidates.
-    order = spark.sparkContext.broadcast(most_used(counts.where("uses > 2"), "gram", "uses", COMMON_NGRAMS))
+    common = most_used(counts.where("uses > 2"), "gram", "uses", COMMON_NGRAMS)
+    order = spark.sparkContext.broadcast(common)
     looked = materialize(rows.mapInPandas(_lookups(tokens, n, similarity, order), f"record {kind}, held boolean, key binary, size int, grams array<long>").where("size > 0"), "lookups")
     # The shuffled n-grams carry a 64-bit class number; classes that share one only make candidates the check refuses.
-    classes = materialize(looked.groupBy("key").agg(F.min("record").alias("rep"), F.max("held").alias("has_e"), F.min("held").alias("only_e"), F.first("size").alias("size"), F.first("grams").alias("grams")).withColumn("class", F.xxhash64("key")), "classes")
+    classes = materialize(looked.groupBy("key").agg(F.min("record").alias("rep"), F.max("held").alias("has_e"), F.min("held").alias("only_e"), F.count(F.lit(1)).alias("n"), F.first("size").alias("size"), F.first("grams").alias("grams")).withColumn("class", F.xxhash64("key")), "classes")
     held = classes.where("has_e").select(F.explode("grams").alias("gram"), F.col("class").alias("class_e"), F.col("size").alias("size_e"))
     trained = classes.where("NOT only_e").select(F.explode("grams").alias("gram"), F.col("class").alias("class_t"), F.col("size").alias("size_t"))
     near = F.least("size_e", "size_t") >= F.greatest("size_e", "size_t") * F.lit(similarity) - F.lit(1e-9)
-    met = skew_join(held, trained, "gram", F.col("class_e"), F.col("class_t"))
+    # No n-gram is looked up more often than it is used; those not among the common ones are used less than any of them.
+    met = skew_join(held, trained, "gram", F.col("class_e"), F.col("class_t"), most=max(common.values(), default=None))
     hits = materialize(met.where((F.col("class_e") != F.col("class_t")) & near).select("class_e", "class_t").distinct(), "hits")
     wanted = hits.select(F.col("class_e").alias("class")).unionByName(hits.select(F.col("class_t").alias("class"))).distinct()
     reps = materialize(classes.select("class", "key", F.col("rep").alias("record")).join(wanted, "class"), "reps")
@@ -156,7 +159,8 @@ def cross_split_classes(df: DataFrame, record: str, text: str, split: str, token
     pairs = hits.join(texts.toDF("class_e", "key_e", "text_e"), "class_e").join(texts.toDF("class_t", "key_t", "text_t"), "class_t")
     alike = pairs.select("key_e", "key_t", "text_e", "text_t").mapInPandas(_contain(tokens, n, similarity), "key_e binary, key_t binary, containment double, alike double").distinct()
     same = classes.where("has_e AND NOT only_e").select(F.col("key").alias("key_e"), F.col("key").alias("key_t"), F.lit(1.0).alias("containment"), F.lit(1.0).alias("alike"))
-    links = materialize(alike.unionByName(same), "alike")
+    largest = classes.agg(F.max("n")).first()[0] or 0
+    links = materialize(alike.unionByName(same).withColumn("largest", F.lit(largest).cast("long")), "alike")
     members = materialize(looked.select("record", "held", "key"), "members")
     release(looked, hits, reps, texts, classes)
     return links, members
@@ -167,8 +171,12 @@ def cross_split_pairs(links: DataFrame, members: DataFrame) -> DataFrame:
     repeated pairs. Classes of many members are split over tasks."""
     held = members.where("held").select(F.col("record").alias("held_id"), F.col("key").alias("key_e"))
     trained = members.where("NOT held").select(F.col("record").alias("train_id"), F.col("key").alias("key_t"))
-    some = materialize(skew_join(held, links, "key_e", F.col("held_id"), F.col("key_t")).select("held_id", "key_t", "containment", "alike"), "some")
-    return skew_join(some, trained, "key_t", F.col("held_id"), F.col("train_id")).select("held_id", "train_id", "containment", "alike")
+    # No class meets more rows on a side of either join than its links times the members of the largest class.
+    most = max((links.groupBy(k).agg(F.count(F.lit(1)).alias("n"), F.max("largest").alias("m")).agg(F.max(F.col("n") * F.col("m"))).first()[0] or 0 for k in ("key_e", "key_t")))
+    some = skew_join(held, links.drop("largest"), "key_e", F.col("held_id"), F.col("key_t"), most=most).select("held_id", "key_t", "containment", "alike")
+    if most > HOT_ROWS:
+        some = materialize(some, "some")
+    return skew_join(some, trained, "key_t", F.col("held_id"), F.col("train_id"), most=most).select("held_id", "train_id", "containment", "alike")
 
 
 def overlap_counts(links: DataFrame, members: DataFrame) -> DataFrame:
