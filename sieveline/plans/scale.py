@@ -96,21 +96,25 @@ def lookup_join(big: DataFrame, small: DataFrame, key: str, how: str = "left", s
     return big.join(small, [key, "_salt"], how).drop("_salt")
 
 
-def skew_join(left: DataFrame, right: DataFrame, key: str, spread_left: Column, spread_right: Column, hot_rows: int = HOT_ROWS, most: int | None = None) -> DataFrame:
+def skew_join(left: DataFrame, right: DataFrame, key: str, spread_left: Column, spread_right: Column, hot_rows: int = HOT_ROWS, most: int | None = None, maybe: str | None = None) -> DataFrame:
     """Inner join of many rows to many on ``key``. A key with more than ``hot_rows`` rows on a side is split over several
     tasks: that side's rows by a hash of its ``spread``, the other side's rows repeated for each part.
 
     ``most``: a number of rows that no key exceeds on either side, if the caller knows one; up to ``hot_rows`` it saves
-    counting. Otherwise both tables are read twice, so give materialized ones. At most ``rows / hot_rows`` keys are hot, so their list is
+    counting. ``maybe``: a boolean column of both, left out of the result, without which no row has a key that is hot; only
+    such rows are counted. Otherwise both tables are read twice, so give materialized ones. At most ``rows / hot_rows`` keys are hot, so their list is
     broadcast; without any the join is an ordinary one. Null keys match nothing.
     """
+    counted = [left, right]
+    if maybe:
+        counted, left, right = [t.where(maybe) for t in counted], left.drop(maybe), right.drop(maybe)
     if most is not None and most <= hot_rows:
         return left.join(right, key)
 
     def heavy(df: DataFrame, name: str) -> DataFrame:
         return df.groupBy(key).count().where((F.col("count") > hot_rows) & F.col(key).isNotNull()).select(key, F.ceil(F.col("count") / F.lit(hot_rows)).cast("int").alias(name))
 
-    hot = heavy(left, "_l").join(heavy(right, "_r"), key, "full")
+    hot = heavy(counted[0], "_l").join(heavy(counted[1], "_r"), key, "full")
     hot = left.sparkSession.createDataFrame(hot.collect(), hot.schema)
     if hot.isEmpty():
         return left.join(right, key)

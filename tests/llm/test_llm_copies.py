@@ -88,3 +88,25 @@ def test_each_distinct_value_is_canonicalised_once(spark, monkeypatch, tmp_path)
     values = df.select("code").mapInPandas(D._values, "raw binary, field int, value string").repartition("raw").mapInPandas(D._canonicalise, "raw binary, digest binary")
     got = rows(values)
     assert len(got) == len({r[0] for r in got}) and len({bytes(r[1]) for r in got if r[1]}) < len(got)
+
+
+def test_only_candidates_that_can_be_alike_are_compared(spark, monkeypatch):
+    """Records that share words but cannot be alike: neither what one side lacks nor unlike bags lead to texts."""
+    random.seed(8)
+    data = [(i, " ".join(f"w{random.randrange(60)}" for _ in range(60)), "test" if i % 2 else "train") for i in range(120)]
+    data += [(200, data[0][1] + " tail", "test"), (201, "only here " * 9, "test")]
+    kept = {}
+    monkeypatch.setattr(O, "materialize", lambda df, name, f=O.materialize: kept.setdefault(name, f(df, name)))
+    monkeypatch.setattr(O, "release", lambda *tables: None)
+    df = spark.createDataFrame(data, "id long, text string, split string").repartition(3)
+    got = {(r.held_id, r.train_id) for r in O.cross_split_pairs(*O.cross_split_classes(df, "id", "text", "split", O.words, 1, 0.85)).collect()}
+    assert got == brute(data, 0.85, O.words, 1) == {(200, 0)}
+    assert kept["hits"].count() > 20 and kept["able"].count() == 1 and kept["texts"].count() == 2
+    assert all(len(r.grams) == 0 for r in kept["lookups"].where("record = 201").collect())
+
+
+def test_texts_sought_by_flags(spark, monkeypatch):
+    monkeypatch.setattr(O, "fits_broadcast", lambda df: False)
+    rows = spark.range(5000).selectExpr("id AS record", "concat('t', id) AS text")
+    reps = spark.range(0, 5000, 100).selectExpr("id AS record", "id + 1 AS class")
+    assert sorted((r.record, r.text) for r in O._texts(rows, reps).collect()) == [(i, f"t{i}") for i in range(0, 5000, 100)]
